@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import mpeg_ts, url_rules
+from fathomline.llm import mpeg_ts, packing, simhash, url_rules
 from fathomline.llm.common import table
 
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpeg_ts.transport_streams(table(spark, sf_dir, "documents"), "doc_id", "text", media=False)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -25,6 +39,8 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_ts": op1_mpeg_ts,
+    "op3_simhash": op3_simhash,
+    "op5_packing": op5_packing,
     "op9_url_rules": op9_url_rules,
 }
 
