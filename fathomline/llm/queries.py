@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import mpeg_ts, packing, simhash, url_rules
+from fathomline.llm import difference_cover, mpeg_ts, packing, simhash, suffix_array, url_rules
 from fathomline.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = difference_cover.repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -37,11 +42,18 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array.repeated_strings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_ts": op1_mpeg_ts,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
+    "op7_difference_cover": op7_difference_cover,
     "op9_url_rules": op9_url_rules,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 SQL: dict[str, str] = {
