@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import difference_cover, mpeg_ts, packing, simhash, suffix_array, url_rules
+from fathomline.llm import difference_cover, mpeg_ts, packing, simhash, spaced_seeds, suffix_array, url_rules
 from fathomline.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
@@ -50,6 +54,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_ts": op1_mpeg_ts,
     "op3_simhash": op3_simhash,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op5_packing": op5_packing,
     "op7_difference_cover": op7_difference_cover,
     "op9_url_rules": op9_url_rules,
