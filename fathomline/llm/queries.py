@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import difference_cover, mpeg_ts, packing, simhash, spaced_seeds, suffix_array, url_rules
-from fathomline.llm.common import table
+from fathomline.llm import difference_cover, language_mixture, mpeg_ts, packing, rule_ensemble, simhash, spaced_seeds, suffix_array, url_rules
+from fathomline.llm.common import crc32_mod, table
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,17 @@ def op1_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> rule_ensemble.Ensemble:
+    """Fitted on labels whose crc32(doc_id) modulo 3 is not 1."""
+    return rule_ensemble.train(docs, labels.where(crc32_mod("doc_id", 3) != 1))
+
+
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = rule_ensemble.scored(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -33,6 +44,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_mixture.train(docs.where(crc32_mod("doc_id", 4) != 2))
+    out = language_mixture.identified(docs, model)
+    return out.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = difference_cover.repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
@@ -53,9 +71,11 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_ts": op1_mpeg_ts,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_simhash": op3_simhash,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_packing": op5_packing,
+    "op6_language_mixture": op6_language_mixture,
     "op7_difference_cover": op7_difference_cover,
     "op9_url_rules": op9_url_rules,
     "op10_suffix_array": op10_suffix_array,
