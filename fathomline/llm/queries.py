@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import difference_cover, language_mixture, mpeg_ts, packing, rule_ensemble, simhash, spaced_seeds, suffix_array, url_rules
+from fathomline.llm import difference_cover, html_crf, language_mixture, mpeg_ts, packing, rule_ensemble, simhash, spaced_seeds, suffix_array, url_rules
 from fathomline.llm.common import crc32_mod, table
 
 
@@ -56,6 +56,10 @@ def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op8_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extracted(table(spark, sf_dir, "pages"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_language_mixture": op6_language_mixture,
     "op7_difference_cover": op7_difference_cover,
+    "op8_html_crf": op8_html_crf,
     "op9_url_rules": op9_url_rules,
     "op10_suffix_array": op10_suffix_array,
 }
