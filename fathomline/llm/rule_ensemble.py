@@ -158,6 +158,18 @@ def grow(x: np.ndarray, residual: np.ndarray, weight: np.ndarray, cuts: list[np.
     return out
 
 
+def thresholds(v: np.ndarray, quantiles: int = 64, gaps: int = 16) -> np.ndarray:
+    """Midpoints between neighbouring values: after quantiles, and in the widest gaps, where classes may part."""
+    u, at = np.unique(v, return_inverse=True)
+    if len(u) < 2:
+        return np.zeros(0)
+    places = np.sort(at)[np.linspace(0, len(v) - 1, quantiles + 2).astype(int)[1:-1]]
+    wide = np.argsort(-np.diff(u), kind="stable")[:gaps]
+    places = np.unique(np.concatenate([places, wide]))
+    places = places[places < len(u) - 1]
+    return (u[places] + u[places + 1]) / 2
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -210,7 +222,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     if n == 0 or y.min() == y.max():
         return Ensemble(float(np.log((y.sum() + 1) / (n - y.sum() + 1))), [])
     rng = np.random.default_rng(seed)
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 34)[1:-1], method="lower")) for j in range(x.shape[1])]
+    cuts = [thresholds(x[:, j]) for j in range(x.shape[1])]
     z = np.full(n, np.log(y.mean() / (1 - y.mean())))
     rules: dict[Rule, None] = {}
     for _ in range(trees):

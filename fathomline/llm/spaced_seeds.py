@@ -129,15 +129,15 @@ def _judged(found: dict[int, float], similar: float) -> tuple[bool, list[int], l
     return bool(over), [i for i, _ in over], [s for _, s in over]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", masks: tuple[str, ...] = MASKS, similar: float = SIMILAR, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """key, contaminated, item_ids and overlaps (the share of each item found, `similar` or more) of each document.
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", masks: tuple[str, ...] = MASKS, similar: float = SIMILAR, most_bytes: int = MOST_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns `carry`, contaminated, item_ids and overlaps (the share of each item found, `similar` or more) of each document.
 
     Null and empty texts and items without a word match nothing; items without an id are left out; repeated rows are judged
     each; items of equal text are all named."""
     items = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).cast("long").alias("item"), F.col("text").alias("item_text"))
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     if size > most_bytes:
-        return _joined(docs, items, key, text, masks, similar)
+        return _joined(docs, items, key, text, masks, similar, carry)
     rows = items.collect()
     index = docs.sparkSession.sparkContext.broadcast(Index([r.item for r in rows], [r.item_text for r in rows], masks))
 
@@ -154,15 +154,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     share = matched(th[of[d] : of[d + 1]], ix.items[i], hits[lo:hi, 2])
                     found[d][ix.ids[i]] = max(share, found[d].get(ix.ids[i], 0.0))
                 out = [_judged(f, similar) for f in found]
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=[key, "contaminated", "item_ids", "overlaps"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=[*kept, "contaminated", "item_ids", "overlaps"])
 
-    return docs.select(key, text).mapInArrow(each, f"{key} {docs.schema[key].dataType.simpleString()}, {RESULT}")
+    kept = list(dict.fromkeys([key, *carry]))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(each, f"{kinds}, {RESULT}")
 
 
-def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, masks: tuple[str, ...], similar: float) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, masks: tuple[str, ...], similar: float, carry: tuple[str, ...]) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides meet in a join; texts join the pairs that hit."""
 
-    short = [n for n in range(1, min(map(len, masks))) if n]
+    short = range(1, min(map(len, masks)))
 
     def seeded(of_item: bool):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +198,5 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, masks: tuple
 
     over = laid.select("i", "item", "item_text", "t", "diagonals").mapInArrow(verify, "i bigint, item bigint, share double").where(F.col("share") >= similar)
     best = over.groupBy("i", "item").agg(F.max("share").alias("share")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("item", "share"))).alias("found"))
-    return docs.select(F.col(key), F.xxhash64(F.col(text)).alias("i")).join(best, "i", "left").select(key, F.col("found").isNotNull().alias("contaminated"), F.coalesce(F.col("found.item"), F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce(F.col("found.share"), F.array().cast("array<double>")).alias("overlaps"))
+    kept = list(dict.fromkeys([key, *carry]))
+    return docs.select(*kept, F.xxhash64(F.col(text)).alias("__i")).join(best.withColumnRenamed("i", "__i"), "__i", "left").select(*kept, F.col("found").isNotNull().alias("contaminated"), F.coalesce(F.col("found.item"), F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce(F.col("found.share"), F.array().cast("array<double>")).alias("overlaps"))
