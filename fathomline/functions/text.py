@@ -178,6 +178,10 @@ def positive_terms(node: Node | None) -> list[str]:
     return sorted({t for p in node.parts for t in positive_terms(p)})
 
 
+def occurrences(tok: Column, word: str) -> Column:
+    return F.size(F.filter(tok, lambda t: t == word))
+
+
 def matches(tok: Column, node: Node | None) -> Column:
     """Whether tokens satisfy the query."""
     if node is None:
@@ -187,7 +191,7 @@ def matches(tok: Column, node: Node | None) -> Column:
     if isinstance(node, Phrase):
         all_in = F.lit(True)
         for w, _ in node.words:
-            all_in = all_in & F.exists(tok, lambda t, w=w: F.coalesce(t == w, F.lit(False)))
+            all_in = all_in & (occurrences(tok, w) > 0)
         if len(node.words) == 1:
             return all_in
         first, *others = node.words
@@ -213,9 +217,12 @@ def cover_density(tok: Column, terms: list[str]) -> Column:
     hits = F.filter(F.transform(tok, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda s: F.coalesce(s["t"].isin(terms), F.lit(False)))
     n = len(terms)
 
+    def first_of(rest: Column, term: str) -> Column:
+        return F.array_min(F.transform(F.filter(rest, lambda r: r["t"] == term), lambda r: r["i"]))
+
     def cover(s: Column, at: Column) -> Column:
         rest = F.slice(hits, at + 1, F.size(hits))
-        firsts = [F.array_min(F.transform(F.filter(rest, lambda r, t=t: r["t"] == t), lambda r: r["i"])) for t in terms]
+        firsts = [first_of(rest, t) for t in terms]
         end = firsts[0] if n == 1 else F.greatest(*firsts)
         complete = firsts[0].isNotNull()
         for f in firsts[1:]:

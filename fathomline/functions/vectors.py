@@ -335,7 +335,7 @@ def pooled(rows: ColumnLike, mask: ColumnLike, how: str) -> Column:
     weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, x: s + x), F.lit(TINY))
     both = F.arrays_zip(rows.alias("r"), mask.alias("m"))
     zero = F.transform(F.element_at(rows, 1), lambda x: F.lit(0.0))
-    summed = F.aggregate(both, zero, lambda a, t: F.zip_with(a, t["0"], lambda x, y: x + y * t["1"]))
+    summed = F.aggregate(both, zero, lambda a, t: F.zip_with(a, t["r"], lambda x, y: x + y * t["m"]))
     return F.transform(summed, lambda x: x / weight)
 
 
@@ -352,7 +352,7 @@ def tumbling(v: ColumnLike, length: int) -> Column:
     """Consecutive groups of `length` items, which must divide the size."""
     v = _c(v)
     ok = F.when(F.size(v) % length == 0, F.size(v)).otherwise(F.raise_error(F.lit(f"size is not a multiple of {length}")).cast("int"))
-    return F.when(F.size(v) == 0, F.slice(F.array(v), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), ok / length - 1), lambda i: F.slice(v, (i * length + 1).cast("int"), F.lit(length))))
+    return F.when(F.size(v) == 0, F.slice(F.array(v), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), (ok / length).cast("int") - 1), lambda i: F.slice(v, i * length + 1, F.lit(length))))
 
 
 def sliding(v: ColumnLike, length: int, step: int, zero: Column | None = None) -> Column:

@@ -25,7 +25,7 @@ def bm25(tok: Column, terms: list[str], dfs: list[int], n: int, avgdl: float) ->
     length = F.size(F.filter(tok, lambda t: t.isNotNull())).cast("double")
     out = F.lit(0.0)
     for t, df in zip(terms, dfs, strict=True):
-        tf = F.size(F.filter(tok, lambda x, t=t: x == t)).cast("double")
+        tf = X.occurrences(tok, t).cast("double")
         out = out + idf(float(df), float(n)) * tf * (K1 + 1) / (tf + K1 * (1 - B) + K1 * B * length / F.lit(float(avgdl)))
     return F.when(tok.isNotNull(), out)
 

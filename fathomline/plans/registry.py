@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from fathomline.plans import queries_tables, queries_text, queries_vectors
 
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_vectors.QUERIES, **queries_text.QUERIES, **queries_tables.QUERIES}
+SQL: dict[str, str] = {**queries_vectors.SQL, **queries_text.SQL, **queries_tables.SQL}
