@@ -92,7 +92,8 @@ def lexemes(text: str, config: str) -> list[str | None]:
 
 
 def tokens(text: Column | str, config: str = "simple") -> Column:
-    """array<string> of the text's words in order; for `english` null where a stop word stood. Null for a null text."""
+    """array<string> of the text's words in order; for `english` null where a stop word stood. Null for a null text.
+    For `english` make it a column of its own before using it in higher-order functions."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     if config == "simple":

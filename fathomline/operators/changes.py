@@ -100,9 +100,9 @@ def uncastable(jobs: DataFrame, kind: str) -> DataFrame:
 def written_back(table: DataFrame, key: str, vector: str, fresh: DataFrame, only_missing: bool = False) -> DataFrame:
     """The table with fresh vectors (key, vector, cleared) put in; cleared rows get null. With only_missing a vector that is
     there already is newer and stays."""
-    f = fresh.select(F.col(key).alias("__k"), F.col("vector").alias("__v"), F.col("cleared").alias("__c"))
-    new = F.when(F.col("__c"), None).when(F.lit(only_missing), F.coalesce(F.col(vector), F.col("__v"))).otherwise(F.coalesce(F.col("__v"), F.col(vector)))
-    return table.join(f, F.col(key) == F.col("__k"), "left").withColumn(vector, new).select(*table.columns)
+    f = fresh.select(F.col(key).alias("__wk"), F.col("vector").alias("__wv"), F.col("cleared").alias("__wc"))
+    new = F.when(F.col("__wc"), None).when(F.lit(only_missing), F.coalesce(F.col(vector), F.col("__wv"))).otherwise(F.coalesce(F.col("__wv"), F.col(vector)))
+    return table.join(f, F.col(key) == F.col("__wk"), "left").withColumn(vector, new).select(*table.columns)
 
 
 def settled(jobs: DataFrame, outcomes: DataFrame, now: Column, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -169,22 +169,32 @@ class Worker:
     def _embed_rows(self, e: Entry, source: DataFrame, jobs: DataFrame) -> DataFrame:
         store = self.catalog.store
         keyed = source.withColumn("__k", key_text(*e.key))
-        sized = jobs.select("id", "pk_value", "created_at").join(keyed.withColumn("__size", templates.rendered_bytes(e.format, e.source)), F.col("pk_value") == F.col("__k"), "left")
-        judged = C.admitted(sized, ["created_at", "id"], "__size", self.limits)
-        texts = judged.where("verdict = 'admitted'").select("id", "pk_value", templates.rendered(e.format, e.source).alias("text"))
+        sized = jobs.select(F.col("id").alias("__job"), "pk_value", F.col("created_at").alias("__at")).join(keyed.withColumn("__size", templates.rendered_bytes(e.format, e.source)), F.col("pk_value") == F.col("__k"), "left")
+        judged = C.admitted(sized, ["__at", "__job"], "__size", self.limits)
+        texts = judged.where("verdict = 'admitted'").select("__job", "pk_value", templates.rendered(e.format, e.source).alias("text"))
         made = embedded(texts, "text", self.embedders[e.model]).checkpoint()
-        empty = judged.where("verdict = 'null'").select("id", "pk_value")
+        empty = judged.where("verdict = 'null'").select("__job", "pk_value")
         fresh = made.where("status = 'ok'").select("pk_value", "vector", F.lit(False).alias("cleared")).unionByName(empty.select("pk_value", F.lit(None).cast("array<float>").alias("vector"), F.lit(True).alias("cleared")))
         written = C.written_back(keyed, "__k", e.vector, fresh.withColumnRenamed("pk_value", "__k"))
         store.write(e.table, written.drop("__k").checkpoint())
-        return made.select("id", "status", "error").unionByName(empty.select("id", F.lit("empty").alias("status"), F.lit(None).cast("string").alias("error"))).unionByName(judged.where("verdict = 'too_large'").select("id", F.lit("dead").alias("status"), F.concat(F.lit("text is "), F.col("__size"), F.lit(f" bytes, over {self.limits.document_bytes}")).alias("error"))).unionByName(judged.where("verdict = 'deferred'").select("id", F.lit("deferred").alias("status"), F.lit(None).cast("string").alias("error")))
+        none = F.lit(None).cast("string")
+        parts = [
+            made.select("__job", "status", "error"),
+            empty.select("__job", F.lit("empty"), none),
+            judged.where("verdict = 'too_large'").select("__job", F.lit("dead"), F.concat(F.lit("text is "), F.col("__size"), F.lit(f" bytes, over {self.limits.document_bytes}"))),
+            judged.where("verdict = 'deferred'").select("__job", F.lit("deferred"), none),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out.toDF("id", "status", "error")
 
     def _split(self, e: Entry, source: DataFrame, jobs: DataFrame) -> DataFrame:
         """Replace the chunks of changed documents and queue the new ones, in one snapshot of the chunk table."""
         if not jobs.limit(1).count():
             return jobs.select("id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")).limit(0)
         store, key = self.catalog.store, e.key[0]
-        docs = jobs.select("id", "pk_value").join(source.withColumn("__k", F.col(key).cast("string")), F.col("pk_value") == F.col("__k"))
+        docs = jobs.select("pk_value").join(source.withColumn("__k", F.col(key).cast("string")), F.col("pk_value") == F.col("__k"))
         chunks, refused = chunking.chunked(docs, key, e.source, e.chunk_size, e.chunk_overlap)
         v = store.version(e.destination)
         top = int(v.get("high_water", 0))
@@ -198,13 +208,13 @@ class Worker:
     def _embed_chunks(self, e: Entry, source: DataFrame, jobs: DataFrame) -> DataFrame:
         store = self.catalog.store
         judged = C.child_verdicts(jobs, store.read(e.destination))
-        live = judged.where("verdict = 'live'").select("id", "chunk_id", "pk_value", "chunk_text")
+        live = judged.where("verdict = 'live'").select(F.col("id").alias("__job"), "chunk_id", "pk_value", "chunk_text")
         joined = live.join(source.withColumn("__k", F.col(e.key[0]).cast("string")), F.col("pk_value") == F.col("__k"))
-        made = embedded(joined.select("id", "chunk_id", templates.rendered(e.format, e.source, chunk="chunk_text").alias("text")), "text", self.embedders[e.model]).checkpoint()
+        made = embedded(joined.select("__job", "chunk_id", templates.rendered(e.format, e.source, chunk="chunk_text").alias("text")), "text", self.embedders[e.model]).checkpoint()
         v = store.version(e.destination)
         fresh = made.where("status = 'ok'").select("chunk_id", "vector", F.lit(False).alias("cleared"))
         store.write(e.destination, C.written_back(store.read(e.destination), "chunk_id", e.vector, fresh).checkpoint(), token=v.get("token"), high_water=v.get("high_water", 0))
-        return made.select("id", "status", "error").unionByName(judged.where("verdict != 'live'").select("id", F.col("verdict").alias("status"), F.when(F.col("verdict") == "dead", "chunk is missing or of another key").alias("error")))
+        return made.select(F.col("__job").alias("id"), "status", "error").unionByName(judged.where("verdict != 'live'").select("id", F.col("verdict").alias("status"), F.when(F.col("verdict") == "dead", "chunk is missing or of another key").alias("error")))
 
     def drain(self, most_rounds: int = 100) -> int:
         """Rounds over all entries in turn until nothing is due; then at most one refresh of statistics."""
