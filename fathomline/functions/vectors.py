@@ -351,8 +351,8 @@ def arg_max_rows(m: ColumnLike) -> Column:
 def tumbling(v: ColumnLike, length: int) -> Column:
     """Consecutive groups of `length` items, which must divide the size."""
     v = _c(v)
-    ok = F.when(F.size(v) % length == 0, F.size(v)).otherwise(F.raise_error(F.lit(f"size is not a multiple of {length}")).cast("int"))
-    return F.when(F.size(v) == 0, F.slice(F.array(v), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), (ok / length).cast("int") - 1), lambda i: F.slice(v, i * length + 1, F.lit(length))))
+    ok = F.when(v.isNull() | (F.size(v) % length == 0), F.size(v)).otherwise(F.raise_error(F.lit(f"size is not a multiple of {length}")).cast("int"))
+    return F.when(F.size(v) == 0, F.slice(F.array(v), 1, 0)).when(v.isNotNull(), F.transform(F.sequence(F.lit(0), (ok / length).cast("int") - 1), lambda i: F.slice(v, i * length + 1, F.lit(length))))
 
 
 def sliding(v: ColumnLike, length: int, step: int, zero: Column | None = None) -> Column:
