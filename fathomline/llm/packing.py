@@ -28,7 +28,7 @@ OPEN_BINS = 1024
 GROUP = 256
 END_ID = 0
 #: Distinct words whose ids a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: The published splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +52,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.load = lambda: Tokenizer.from_file(path)
+        self.whole = self.load()
         spec = json.loads(self.whole.to_str())
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
@@ -67,9 +68,11 @@ class Encoder:
             made = [ranks.get(bytes(byte[c] for c in "".join(m)), -1) for m in merges]
             if all(x < y for x, y in zip(made, made[1:], strict=False)):  # then ids are ranks
                 self.piece = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+                self.whole = None  # loaded again for a text that needs it
 
     def _ids(self, text: str) -> bytes:
         if self.piece is None or any(s in text for s in self.special):
+            self.whole = self.whole or self.load()
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.piece(text), "<u4").tobytes()
 

@@ -43,11 +43,11 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not len(starts):
         return out
     doc = np.repeat(np.arange(n), count)
-    wh = ranges(byte_prefix(data, 51), starts, ends, 51)
+    wh = ranges(byte_prefix(data, 11), starts, ends, 11)
     length = ends - starts
 
     def total(flags: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(flags)])
+        sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
         return sums[at[1:]] - sums[at[:-1]]
 
     def in_words(values: np.ndarray) -> np.ndarray:
@@ -58,8 +58,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     letter = upper | (data >= 97) & (data <= 122) | (data >= 128)
     digit = (data >= 48) & (data <= 57)
     first, last = data[starts], data[ends - 1]
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    uppers = np.concatenate([[0], np.cumsum(upper)])
+    letters = np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])
+    uppers = np.concatenate([[0], np.cumsum(upper, dtype=np.int32)])
     word_letters, word_uppers = letters[ends] - letters[starts], uppers[ends] - uppers[starts]
     doubled = np.zeros(len(wh), bool)
     doubled[1:] = (wh[1:] == wh[:-1]) & (doc[1:] == doc[:-1])
@@ -74,7 +74,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_start = line_start[line_start < len(data)]
     line_end = np.concatenate([line_start[1:], [len(data)]])
     line_doc = np.searchsorted(at, line_start, "right") - 1
-    lh = ranges(byte_prefix(data, 52), line_start, np.maximum(line_end - (data[line_end - 1] == 10), line_start), 52)
+    lh = ranges(byte_prefix(data, 11), line_start, np.maximum(line_end - (data[line_end - 1] == 10), line_start), 11)
     lines = np.bincount(line_doc, minlength=n)
     pair = np.unique(np.column_stack([line_doc.astype(np.uint64), lh]), axis=0)
     different = np.bincount(pair[:, 0].astype(np.int64), minlength=n)

@@ -49,7 +49,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (letters, digits and all non-ASCII characters) and where each text's begin."""
     low = folded(data)
     starts, ends, of = words(low, at, ~_WORD)
-    return (ranges(byte_prefix(low, 41), starts, ends, 41) if len(starts) else np.zeros(0, np.uint64)), of
+    return (ranges(byte_prefix(low, 11), starts, ends, 11) if len(starts) else np.zeros(0, np.uint64)), of
 
 
 def seeds(th: np.ndarray, of: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:

@@ -123,9 +123,9 @@ class Strings(Kernel):
         none = np.zeros(0, np.int64)
         if len(data) < self.window:
             return none, none.view(np.uint64), none
-        p = byte_prefix(data, 31)
+        p = byte_prefix(data, 11)
         i = np.arange(len(data) - self.gram + 1)
-        h = ranges(p, i, i + self.gram, 31)
+        h = ranges(p, i, i + self.gram, 11)
         low = np.uint64((1 << _PLACE) - 1)
         chosen = sliding_min((h & ~low) | i.astype(np.uint64), self.window - self.gram + 1) & low
         n = np.maximum(np.diff(at) - self.window + 1, 0)
