@@ -28,7 +28,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> rule_ensemble.Ensemble:
 def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = rule_ensemble.scored(docs, quality_model(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_mixture.train(docs.where(crc32_mod("doc_id", 4) != 2))
     out = language_mixture.identified(docs, model)
-    return out.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+    return out.select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
