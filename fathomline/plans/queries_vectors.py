@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,9 @@ def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ivf_search"] = ivf_search
 
 
-def _per_row(name: str, column: Column, sql: str, out: str = "value", digits: bool = True) -> None:
+def _per_row(name: str, column: Callable[[], Column], sql: str, out: str = "value", digits: bool = True) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        value = F.round(column, 6) if digits else column
+        value = F.round(column(), 6) if digits else column()
         return _read(spark, sf_dir, "embeddings").select("vec_id", value.alias(out))
 
     QUERIES[name] = query
@@ -77,36 +79,42 @@ def _per_row(name: str, column: Column, sql: str, out: str = "value", digits: bo
 
 
 _E = "embedding"
-_FIXED = V.literal([1.0 if i % 2 else -0.5 for i in range(64)])
+
+
+def _fixed() -> Column:
+    return V.literal([1.0 if i % 2 else -0.5 for i in range(64)])
+
+
+
 _FIXED_SQL = "list_transform(range(64), lambda i: CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END)"
 _MEAN_SQL = "(list_sum(v) / 64)"
 _VAR_SQL = f"(list_sum(list_transform(v, lambda x: (x - {_MEAN_SQL}) * (x - {_MEAN_SQL}))) / 63)"
-_per_row("vec_norm", V.norm(_E), "sqrt(list_inner_product(v, v))")
-_per_row("vec_sum", V.total(_E), "list_sum(v)")
-_per_row("vec_mean", V.mean(_E), _MEAN_SQL)
-_per_row("vec_max", V.greatest_of(_E), "list_max(v)")
-_per_row("vec_min", V.least_of(_E), "list_min(v)")
-_per_row("vec_variance", V.variance(_E), _VAR_SQL)
-_per_row("vec_stdev", V.stdev(_E), f"sqrt({_VAR_SQL})")
-_per_row("vec_dot", V.dot(_E, _FIXED), f"list_inner_product(v, {_FIXED_SQL})")
-_per_row("vec_cosine", V.cosine_similarity(_E, _FIXED), f"list_cosine_similarity(v, {_FIXED_SQL})")
-_per_row("vec_euclidean", V.euclidean_distance(_E, _FIXED), f"list_distance(v, {_FIXED_SQL})")
-_per_row("vec_angular", V.angular_similarity(_E, _FIXED), f"1 - acos(greatest(-1, least(1, list_cosine_similarity(v, {_FIXED_SQL})))) / pi()")
-_per_row("vec_median", V.median(_E), "(list_sort(v)[32] + list_sort(v)[33]) / 2")
-_per_row("vec_percentile", V.percentile(_E, 90), "list_sort(v)[57] + (list_sort(v)[58] - list_sort(v)[57]) * (63 * 0.9 - 56)")
-_per_row("vec_argmax", V.arg_max(_E), "list_position(v, list_max(v)) - 1", "position", False)
-_per_row("vec_argsort", F.slice(V.arg_sort_descending(_E), 1, 3).cast("array<bigint>"), "list_transform(list_sort(list_transform(v, lambda x, i: {'k': -x, 'i': i}))[1:3], lambda s: (s.i - 1)::BIGINT)", "positions", False)
-_per_row("vec_dedup", V.count_uniques(_E), "len(list_distinct(v))::BIGINT", "n", False)
-_per_row("vec_is_zero", V.is_zero(_E), "list_max(v) = 0 AND list_min(v) = 0", "zero", False)
-_per_row("vec_size", V.size_bytes(_E), "len(v)::BIGINT * 4", "bytes", False)
-_per_row("vec_longs", V.as_longs(F.transform(F.col(_E).cast("array<double>"), lambda x: x * 1000)), "list_transform(v, lambda x: trunc(x * 1000)::BIGINT)", "longs", False)
-
-
-def _spread(name: str, column: Column, sql: str) -> None:
+_per_row("vec_norm", lambda: V.norm(_E), "sqrt(list_inner_product(v, v))")
+_per_row("vec_sum", lambda: V.total(_E), "list_sum(v)")
+_per_row("vec_mean", lambda: V.mean(_E), _MEAN_SQL)
+_per_row("vec_max", lambda: V.greatest_of(_E), "list_max(v)")
+_per_row("vec_min", lambda: V.least_of(_E), "list_min(v)")
+_per_row("vec_variance", lambda: V.variance(_E), _VAR_SQL)
+_per_row("vec_stdev", lambda: V.stdev(_E), f"sqrt({_VAR_SQL})")
+_per_row("vec_dot", lambda: V.dot(_E, _fixed()), f"list_inner_product(v, {_FIXED_SQL})")
+_per_row("vec_cosine", lambda: V.cosine_similarity(_E, _fixed()), f"list_cosine_similarity(v, {_FIXED_SQL})")
+_per_row("vec_euclidean", lambda: V.euclidean_distance(_E, _fixed()), f"list_distance(v, {_FIXED_SQL})")
+_per_row("vec_angular", lambda: V.angular_similarity(_E, _fixed()), f"1 - acos(greatest(-1, least(1, list_cosine_similarity(v, {_FIXED_SQL})))) / pi()")
+_per_row("vec_median", lambda: V.median(_E), "(list_sort(v)[32] + list_sort(v)[33]) / 2")
+_per_row("vec_percentile", lambda: V.percentile(_E, 90), "list_sort(v)[57] + (list_sort(v)[58] - list_sort(v)[57]) * (63 * 0.9 - 56)")
+_per_row("vec_argmax", lambda: V.arg_max(_E), "list_position(v, list_max(v)) - 1", "position", False)
+_per_row("vec_argsort", lambda: F.slice(V.arg_sort_descending(_E), 1, 3).cast("array<bigint>"), "list_transform(list_sort(list_transform(v, lambda x, i: {'k': -x, 'i': i}))[1:3], lambda s: (s.i - 1)::BIGINT)", "positions", False)
+_per_row("vec_dedup", lambda: V.count_uniques(_E), "len(list_distinct(v))::BIGINT", "n", False)
+_per_row("vec_is_zero", lambda: V.is_zero(_E), "list_max(v) = 0 AND list_min(v) = 0", "zero", False)
+_per_row("vec_size", lambda: V.size_bytes(_E), "len(v)::BIGINT * 4", "bytes", False)
+_per_row("vec_longs", lambda: V.as_longs(F.transform(F.col(_E).cast("array<double>"), lambda x: x * 1000)), "list_transform(v, lambda x: trunc(x * 1000)::BIGINT)", "longs", False)
+
+
+def _spread(name: str, column: Callable[[], Column], sql: str) -> None:
     """One row per vector: the sum of squares, and the values at 1, 2 and the last place of a vector result."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = _read(spark, sf_dir, "embeddings").select("vec_id", column.alias("w"))
+        w = _read(spark, sf_dir, "embeddings").select("vec_id", column().alias("w"))
         return w.select("vec_id", F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"), F.round(F.col("w")[0], 6).alias("first"), F.round(F.element_at("w", 2), 6).alias("second"), F.round(F.element_at("w", -1), 6).alias("last"), F.size("w").cast("bigint").alias("n"))
 
     QUERIES[name] = query
@@ -115,22 +123,22 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELEC
 SELECT vec_id, round(coalesce(list_sum(list_transform(w, lambda x: x * x)), 0), 6) AS squares, round(w[1], 6) AS first, round(w[2], 6) AS second, round(w[len(w)], 6) AS last, len(w)::BIGINT AS n FROM t"""
 
 
-_spread("vec_normalize", V.normalized(F.transform(F.col(_E).cast("array<double>"), lambda x: x * 3)), "list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))")
-_spread("vec_softmax", V.softmax(_E), "list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v)))))")
-_spread("vec_sigmoid", V.sigmoid(_E), "list_transform(v, lambda x: 1 / (1 + exp(-x)))")
-_spread("vec_zscore", V.z_scores(_E), f"list_transform(v, lambda x: (x - {_MEAN_SQL}) / sqrt({_VAR_SQL}))")
-_spread("vec_cumsum", V.cumulative_sum(_E), "list_transform(range(1, 65), lambda i: list_sum(v[1:i]))")
-_spread("vec_multiply", V.element_wise(_E, _FIXED), f"list_transform(v, lambda x, i: x * ({_FIXED_SQL})[i])")
-_spread("vec_scale_max", V.scaled_to_max(_E), "list_transform(v, lambda x: x / list_max(v))")
-_spread("vec_sorted", V.ordered(_E, True), "list_reverse_sort(v)")
-_spread("vec_slice_renorm", V.shortened(_E, 16, True), "list_transform(v[1:16], lambda x: x / sqrt(list_inner_product(v[1:16], v[1:16])))")
-_spread("vec_quantile_slice", V.quantile_slice(_E, 0.25, 0.75), "list_filter(v, lambda x: x >= list_sort(v)[16] + (list_sort(v)[17] - list_sort(v)[16]) * 0.75 AND x <= list_sort(v)[48] + (list_sort(v)[49] - list_sort(v)[48]) * 0.25)")
-_spread("mat_column", V.matrix_column(V.tumbling(F.col(_E).cast("array<double>"), 8), 2), "list_transform(range(8), lambda i: v[i * 8 + 3])")
-_spread("mat_argmax_rows", F.transform(V.arg_max_rows(V.tumbling(F.col(_E).cast("array<double>"), 8)), lambda x: x.cast("double")), "list_transform(range(8), lambda i: (list_position(v[i * 8 + 1:i * 8 + 8], list_max(v[i * 8 + 1:i * 8 + 8])) - 1)::DOUBLE)")
-_spread("mat_reshape", V.flattened(F.transform(V.reshaped(F.col(_E).cast("array<double>"), -1, 4, 4), lambda m: F.element_at(m, 2))), "flatten(list_transform(range(4), lambda i: v[i * 16 + 5:i * 16 + 8]))")
-_spread("pool_mean", V.pooled(V.tumbling(F.col(_E).cast("array<double>"), 16), F.array(F.lit(1), F.lit(1), F.lit(0), F.lit(1)).cast("array<bigint>"), "mean"), "list_transform(range(1, 17), lambda i: (v[i] + v[i + 16] + v[i + 48]) / 3)")
-_spread("pool_last", V.pooled(V.tumbling(F.col(_E).cast("array<double>"), 16), F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(0)).cast("array<bigint>"), "last"), "v[33:48]")
-_spread("pool_cls", V.pooled(V.tumbling(F.col(_E).cast("array<double>"), 16), F.array(F.lit(1)).cast("array<bigint>"), "cls"), "v[1:16]")
+_spread("vec_normalize", lambda: V.normalized(F.transform(F.col(_E).cast("array<double>"), lambda x: x * 3)), "list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))")
+_spread("vec_softmax", lambda: V.softmax(_E), "list_transform(v, lambda x: exp(x - list_max(v)) / list_sum(list_transform(v, lambda y: exp(y - list_max(v)))))")
+_spread("vec_sigmoid", lambda: V.sigmoid(_E), "list_transform(v, lambda x: 1 / (1 + exp(-x)))")
+_spread("vec_zscore", lambda: V.z_scores(_E), f"list_transform(v, lambda x: (x - {_MEAN_SQL}) / sqrt({_VAR_SQL}))")
+_spread("vec_cumsum", lambda: V.cumulative_sum(_E), "list_transform(range(1, 65), lambda i: list_sum(v[1:i]))")
+_spread("vec_multiply", lambda: V.element_wise(_E, _fixed()), f"list_transform(v, lambda x, i: x * ({_FIXED_SQL})[i])")
+_spread("vec_scale_max", lambda: V.scaled_to_max(_E), "list_transform(v, lambda x: x / list_max(v))")
+_spread("vec_sorted", lambda: V.ordered(_E, True), "list_reverse_sort(v)")
+_spread("vec_slice_renorm", lambda: V.shortened(_E, 16, True), "list_transform(v[1:16], lambda x: x / sqrt(list_inner_product(v[1:16], v[1:16])))")
+_spread("vec_quantile_slice", lambda: V.quantile_slice(_E, 0.25, 0.75), "list_filter(v, lambda x: x >= list_sort(v)[16] + (list_sort(v)[17] - list_sort(v)[16]) * 0.75 AND x <= list_sort(v)[48] + (list_sort(v)[49] - list_sort(v)[48]) * 0.25)")
+_spread("mat_column", lambda: V.matrix_column(V.tumbling(F.col(_E).cast("array<double>"), 8), 2), "list_transform(range(8), lambda i: v[i * 8 + 3])")
+_spread("mat_argmax_rows", lambda: F.transform(V.arg_max_rows(V.tumbling(F.col(_E).cast("array<double>"), 8)), lambda x: x.cast("double")), "list_transform(range(8), lambda i: (list_position(v[i * 8 + 1:i * 8 + 8], list_max(v[i * 8 + 1:i * 8 + 8])) - 1)::DOUBLE)")
+_spread("mat_reshape", lambda: V.flattened(F.transform(V.reshaped(F.col(_E).cast("array<double>"), -1, 4, 4), lambda m: F.element_at(m, 2))), "flatten(list_transform(range(4), lambda i: v[i * 16 + 5:i * 16 + 8]))")
+_spread("pool_mean", lambda: V.pooled(V.tumbling(F.col(_E).cast("array<double>"), 16), F.array(F.lit(1), F.lit(1), F.lit(0), F.lit(1)).cast("array<bigint>"), "mean"), "list_transform(range(1, 17), lambda i: (v[i] + v[i + 16] + v[i + 48]) / 3)")
+_spread("pool_last", lambda: V.pooled(V.tumbling(F.col(_E).cast("array<double>"), 16), F.array(F.lit(1), F.lit(1), F.lit(1), F.lit(0)).cast("array<bigint>"), "last"), "v[33:48]")
+_spread("pool_cls", lambda: V.pooled(V.tumbling(F.col(_E).cast("array<double>"), 16), F.array(F.lit(1)).cast("array<bigint>"), "cls"), "v[1:16]")
 
 
 def vec_mean_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
