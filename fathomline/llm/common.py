@@ -46,14 +46,17 @@ def shared_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there, so that lost executors cost nothing before it.
 
-    What the cut made unreachable (the shuffles below it) is given back at once rather than at some later collection."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint()
-    del df
+    First the shuffles below earlier cuts, which nothing reaches any more, are given back rather than at some later
+    collection."""
+    shared_dir(df.sparkSession)
+    release(df.sparkSession)
+    return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see what is unreachable on the driver: it drops shuffles only after a collection there."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def crc32_mod(column: str, m: int) -> Column:

@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.kernels import byte_prefix, cover, ranges, runs, sliding_min
+from fathomline.llm.common import cut
+from fathomline.llm.kernels import cover, gram_hashes, runs, sliding_min
 from fathomline.llm.repeats import Kernel, removals
 
 WINDOW = 100
@@ -123,11 +125,12 @@ class Strings(Kernel):
         none = np.zeros(0, np.int64)
         if len(data) < self.window:
             return none, none.view(np.uint64), none
-        p = byte_prefix(data, 11)
-        i = np.arange(len(data) - self.gram + 1)
-        h = ranges(p, i, i + self.gram, 11)
+        h = gram_hashes(data, self.gram)
         low = np.uint64((1 << _PLACE) - 1)
-        chosen = sliding_min((h & ~low) | i.astype(np.uint64), self.window - self.gram + 1) & low
+        order = h & ~low
+        order |= np.arange(len(h), dtype=np.uint64)
+        chosen = sliding_min(order, self.window - self.gram + 1)
+        chosen &= low
         n = np.maximum(np.diff(at) - self.window + 1, 0)
         inside = cover(len(chosen), at[:-1][n > 0], (at[:-1] + n)[n > 0])
         new = inside.copy()
@@ -142,31 +145,45 @@ class Strings(Kernel):
     def earlier(self, found: DataFrame) -> DataFrame:
         width = self.window
 
-        def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     raw, at = zstandard.decompress(b.column("z")[i].as_py()), b.column("at")[i].values
-                    h, s = at.field("h"), at.field("s").to_numpy()
+                    s = at.field("s").to_numpy()
+                    ph = [xxhash.xxh3_64_intdigest(raw[x : x + k]) for x, k in zip((s >> 7).tolist(), ((s & 127) + width - 1).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([at.field("h"), pa.array(np.array(ph, np.uint64).view(np.int64)), pa.array(np.full(len(s), b.column("id")[i].as_py())), pa.array(np.full(len(s), b.column("c")[i].as_py())), pa.array(s)], names=["h", "ph", "id", "c", "s"])
+
+        def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    raw, at = zstandard.decompress(b.column("z")[i].as_py()), b.column("wanted")[i].values
+                    s = at.field("s").to_numpy()
                     start, n = s >> 7, s & 127
-                    yield pa.RecordBatch.from_arrays([h, pa.array([raw[x : x + k + width - 1] for x, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary()), pa.array(np.full(len(s), b.column("id")[i].as_py())), pa.array(np.full(len(s), b.column("c")[i].as_py())), pa.array(start), pa.array(n)], names=["h", "piece", "id", "c", "s", "n"])
+                    yield pa.RecordBatch.from_arrays([at.field("h"), pa.array([raw[x : x + k + width - 1] for x, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary()), pa.array(np.full(len(s), b.column("id")[i].as_py())), pa.array(np.full(len(s), b.column("c")[i].as_py())), pa.array(start), pa.array(n), at.field("m")], names=["h", "piece", "id", "c", "s", "n", "m"])
 
-        pieces = found.select("id", "c", "z", "at").mapInArrow(cut_out, "h bigint, piece binary, id bigint, c bigint, s bigint, n bigint").withColumn("ph", F.xxhash64("piece"))
-        firsts = pieces.groupBy("h", "ph").agg(F.min(F.struct("id", "s", "c")).alias("first"), F.first("piece").alias("piece"), F.first("n").alias("n"))
-        again = pieces.select("h", "ph", "id", "c", "s", "n").join(firsts.select("h", "ph", "first"), ["h", "ph"]).where((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s")) | (F.col("c") != F.col("first.c")))
+        # Pieces of one gram and one hash (128 bits together) are the same bytes: all but the first are repeats as a whole.
+        places = found.select("id", "c", "z", "at").mapInArrow(placed, "h bigint, ph bigint, id bigint, c bigint, s bigint")
+        firsts = cut(places.groupBy("h", "ph").agg(F.min(F.struct("id", "s", "c")).alias("first"), F.count("*").alias("k")).select("h", "ph", "first.*", "k"))
+        copied = firsts.where("k > 1").select("h", "ph", F.struct("id", "s", "c").alias("first"))
+        again = places.join(copied, ["h", "ph"]).where(F.struct("id", "s", "c") != F.col("first")).select("id", "c", F.shiftright("s", 7).alias("s"), F.col("s").bitwiseAND(127).alias("n"))
         meeting = firsts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-        sorted_out = firsts.join(meeting, "h").select("h", "piece", "first.id", "first.c", "first.s", "n", "m")
+        wanted = firsts.join(meeting, "h").groupBy("id", "c").agg(F.collect_list(F.struct("h", "s", "m")).alias("wanted"))
+        sorted_out = found.select("id", "c", "z").join(wanted, ["id", "c"]).select("id", "c", "z", "wanted").mapInArrow(cut_out, "h bigint, piece binary, id bigint, c bigint, s bigint, n bigint, m bigint")
+
+        most = self.hot
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
+                hot = b.column("m").to_numpy() > most
+                yield b.drop_columns(["m"]).filter(pa.array(~hot))
+                for r in b.filter(pa.array(hot)).to_pylist() if hot.any() else []:
                     k = np.arange(r["n"])
                     windows = [r["piece"][j : j + width] for j in k]
                     yield pa.RecordBatch.from_arrays([pa.array([hash_long(w) for w in windows], pa.int64()), pa.array(windows, pa.binary()), pa.array(np.full(len(k), r["id"])), pa.array(np.full(len(k), r["c"])), pa.array(k + r["s"]), pa.array(np.ones(len(k), np.int64))], names=["h", "piece", "id", "c", "s", "n"])
 
         schema = "h bigint, piece binary, id bigint, c bigint, s bigint, n bigint"
-        lone = sorted_out.where(F.col("m") > self.hot).drop("m").mapInArrow(single, schema)
-        dealt = sorted_out.where(F.col("m") <= self.hot).drop("m").unionByName(lone).repartition("h").sortWithinPartitions("h")
-        return dealt.mapInArrow(self._sort, "id bigint, c bigint, s bigint, n bigint").unionByName(again.select("id", "c", "s", "n"))
+        dealt = sorted_out.mapInArrow(single, schema).repartition("h").sortWithinPartitions("h")
+        return cut(dealt.mapInArrow(self._sort, "id bigint, c bigint, s bigint, n bigint").unionByName(again.select("id", "c", "s", "n")))
 
     def _sort(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
