@@ -100,7 +100,8 @@ def removals(df: DataFrame, key: str, text: str, kernel: Kernel) -> DataFrame:
     rows = cut(docs.mapInArrow(each_whole, f"key {kind}, id bigint, raw bigint, c bigint, c2 bigint, n bigint, sha string"))
     marks = docs.select("text").mapInArrow(each_mark, "h bigint, c bigint, s bigint")
     place = F.xxhash64("c", "s") if kernel.within else F.col("c")
-    shared = marks.select("h", place.alias("x")).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y")).where("x != y").select("h")
+    # Written first, so that the join below shuffles both sides: then Spark can split the tasks of a hot mark.
+    shared = cut(marks.select("h", place.alias("x")).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y")).where("x != y").select("h"))
     hits = cut(marks.join(shared, "h").groupBy("c").agg(F.collect_set(F.struct("h", "s") if kernel.named else F.col("s")).alias("at")))
     firsts = rows.groupBy("c", "c2").agg(F.min("id").alias("id"))
     wanted = firsts.join(hits, "c").select("id", "c", "at").dropDuplicates(["id", "c"])
