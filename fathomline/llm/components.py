@@ -2,7 +2,7 @@
 
 Before each round every task contracts its own edges with union-find (a forest has at most one edge per vertex), so what
 is shuffled shrinks fast. Neighbourhoods are never gathered: a round is two group-wise minima, which combine before the
-shuffle, and two joins against them, in which a star's hot centre can be split.
+shuffle, and two joins against them. A star's centre is one key in these: what contraction leaves of it is in one task.
 """
 
 from __future__ import annotations
