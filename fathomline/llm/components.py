@@ -2,7 +2,8 @@
 
 Before each round every task contracts its own edges with union-find (a forest has at most one edge per vertex), so what
 is shuffled shrinks fast. Neighbourhoods are never gathered: a round is two group-wise minima, which combine before the
-shuffle, and two joins against them. A star's centre is one key in these: what contraction leaves of it is in one task.
+shuffle, and two joins against them. The minima are written before they are joined, so that both sides of a join are
+shuffled for it and Spark can split the tasks of a star's hot centre.
 """
 
 from __future__ import annotations
@@ -72,9 +73,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             break
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(contracted(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
     else:
