@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import difference_cover, packing, queries, rule_ensemble, simhash, spaced_seeds
+from fathomline.llm import difference_cover, near_copies, packing, queries, rule_ensemble, spaced_seeds
 from fathomline.llm.common import LAST_ID, table
 
 
@@ -15,10 +15,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked fingerprints: that of the smallest id (null last), and of rows that share
+    """Keep one document of each group linked by near copies (five-word shingles, similarity 0.8 or more): that of the smallest id (null last), and of rows that share
     it the one of least text hash."""
     named = docs.withColumn("__k", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("raw")))
-    first = simhash.near_duplicates(named, "__k", "text").select("component.id", "component.raw").distinct()
+    first = near_copies.near_copies(named, "__k", "text").select("component.id", "component.raw").distinct()
     keyed = named.select(*docs.columns, F.col("__k.id").alias("__id"), F.col("__k.raw").alias("__raw"))
     kept = keyed.join(first, (F.col("__id") == F.col("id")) & (F.col("__raw") == F.col("raw")), "left_semi")
     return kept.dropDuplicates(["__id", "__raw"]).select(*docs.columns)
