@@ -17,6 +17,30 @@ def test_no_fifth_of_substitutions_hides_an_item(n):
         assert any(not any(a + j in gone for j in u) for u, w in zip(usable, spans) for a in range(n - w + 1)), out
 
 
+@pytest.mark.parametrize("n", range(5, 21))
+def test_a_fifth_of_substitutions_leaves_the_true_share(n):
+    k = n // 5
+    item = np.arange(1, n + 1, dtype=np.uint64)
+    for out in combinations(range(n), k):
+        text = item.copy()
+        text[list(out)] = 0
+        assert s.matched(text, item, np.array([0])) == (n - k) / n, out
+
+
+def test_words_of_one_passage_add_up_and_far_single_words_do_not():
+    item = np.arange(1, 41, dtype=np.uint64)
+    text = item.copy()
+    text[[1, 3, 36, 38]] = 0
+    text = np.insert(text, 20, 0)
+    assert s.matched(text, item, np.array([0, 1])) == 0.9
+    # four words that recur a hundred times, each time with one other word in place
+    far = np.zeros(6000, np.uint64)
+    for j in range(100):
+        far[60 * j + 10 : 60 * j + 14] = item[10:14]
+        far[60 * j + j % 40] = item[j % 40]
+    assert s.matched(far, item, np.arange(0, 6000, 60)) <= 8 / 40
+
+
 @pytest.mark.parametrize("most", [1 << 20, 10])
 def test_contamination(spark, most):
     rng = np.random.default_rng(8)
