@@ -129,3 +129,14 @@ class InvertedLists:
         while n < len(order) and rows.where(F.col("list_id").isin(order[:n])).limit(k).count() < k:
             n = min(len(order), 2 * n)
         return nearest(rows.where(F.col("list_id").isin(order[:n])), self.key, self.vector, query, k, self.distance)
+
+    def search_many(self, queries: DataFrame, query_key: str, query_vector: str, k: int, probes: int) -> DataFrame:
+        """query_key, key, distance and rank of the k nearest in the `probes` lists nearest to each query."""
+        lists = F.array(*[F.struct(V.euclidean_distance("w", V.literal(row.tolist())).alias("d"), F.lit(i).alias("i")) for i, row in enumerate(self.centroids)])
+        q = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("w"))
+        near = q.select("q", "w", F.explode(F.slice(F.array_sort(lists), 1, max(1, probes))["i"]).alias("list_id"))
+        rows = self.rows.select(F.col(self.key).alias("k"), F.col(self.vector).alias("v"), "list_id")
+        found = rows.join(near, "list_id").select("q", "k", V.search_distance(self.distance, "v", "w").alias("distance"))
+        first = Window.partitionBy("q").orderBy(F.col("distance").asc_nulls_last(), F.col("k").cast("string"))
+        top = found.withColumn("rank", F.row_number().over(first).cast("bigint")).where(F.col("rank") <= k)
+        return top.select(F.col("q").alias(query_key), F.col("k").alias(self.key), "distance", "rank")
