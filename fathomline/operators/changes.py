@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.lineage import cut
+
 JOB_KEY = ["registry_id", "op", "pk_value", "chunk_id"]
 JOBS = "id bigint, registry_id bigint, pk_value string, op string, chunk_id bigint, attempts int, not_before timestamp, claimed_at timestamp, last_error string, created_at timestamp"
 
@@ -21,14 +24,19 @@ class Limits:
     visibility_ms: int = 300_000
 
 
-def changed_rows(old: DataFrame, new: DataFrame, key: str, watched: list[str], source: str) -> DataFrame:
-    """key and change: insert (with a source that isn't null), update (some watched column is distinct) or delete. A changed
-    key is a delete and an insert."""
-    o = old.select(key, F.struct(*watched).alias("__o"))
-    n = new.select(key, F.struct(*watched).alias("__n"), F.col(source).isNotNull().alias("__s"))
-    both = o.join(n, key, "full_outer")
+def key_list(key: str | list[str] | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def changed_rows(old: DataFrame, new: DataFrame, key: str | list[str] | tuple[str, ...], watched: list[str], source: str) -> DataFrame:
+    """The key's columns and change: insert (with a source that isn't null), update (some watched column is distinct) or
+    delete. A changed key is a delete and an insert."""
+    keys = key_list(key)
+    o = old.select(*keys, F.struct(*watched).alias("__o"))
+    n = new.select(*keys, F.struct(*watched).alias("__n"), F.col(source).isNotNull().alias("__s"))
+    both = o.join(n, keys, "full_outer")
     change = F.when(F.col("__o").isNull() & F.col("__s"), "insert").when(F.col("__n").isNull() & F.col("__o").isNotNull(), "delete").when(F.col("__o").isNotNull() & F.col("__n").isNotNull() & ~F.col("__o").eqNullSafe(F.col("__n")), "update")
-    return both.select(key, change.alias("change")).where("change is not null")
+    return both.select(*keys, change.alias("change")).where("change is not null")
 
 
 def coalesced(pending: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -45,11 +53,13 @@ def due(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where(F.col("claimed_at").isNull() & (F.col("not_before") <= now))
 
 
-def claim(jobs: DataFrame, now: Column, batch: int) -> DataFrame:
-    """The first `batch` due jobs, taken in turn from the entries that have any (each entry's own by time and id)."""
+def claim(jobs: DataFrame, now: Column, batch: int, after: int | None = None) -> DataFrame:
+    """The first `batch` due jobs, taken in turn from the entries that have any (each entry's own by time and id). `after`
+    is the entry served last: the turn begins with the next one, so that low numbers don't always come first."""
     turn = F.row_number().over(Window.partitionBy("registry_id").orderBy("not_before", "id"))
     ahead = due(jobs, now).withColumn("__turn", turn).where(F.col("__turn") <= batch)
-    return ahead.orderBy("__turn", "registry_id").limit(batch).drop("__turn").withColumn("claimed_at", now).withColumn("attempts", F.col("attempts") + 1)
+    waited = F.col("registry_id") <= F.lit(-1 if after is None else after)
+    return ahead.orderBy("__turn", waited, "registry_id").limit(batch).drop("__turn").withColumn("claimed_at", now).withColumn("attempts", F.col("attempts") + 1)
 
 
 def released(jobs: DataFrame, now: Column, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
@@ -65,24 +75,60 @@ def dead(jobs: DataFrame, error: Column, now: Column) -> DataFrame:
     return jobs.withColumn("last_error", F.left(error, F.lit(1024))).withColumn("failed_at", now)
 
 
+def with_running_sum(rows: DataFrame, order: list[Column], size: Column, column: str) -> DataFrame:
+    """The sum of sizes up to each row in order, peers of equal order included. Rows are range-sorted (peers stay together)
+    and each partition starts from the sum of those before it, so no window has to take them all."""
+    spread = cut(rows.withColumn("__running", size).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["n"] or 0 for r in spread.groupBy("__part").agg(F.sum("__running").alias("n")).collect()}  # one row a partition
+    at, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, at))
+        at += sizes[p]
+    base = rows.sparkSession.createDataFrame(offsets, "__part int, __before bigint")
+    own = F.sum("__running").over(Window.partitionBy("__part").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return spread.join(F.broadcast(base), "__part").withColumn(column, F.col("__before") + F.coalesce(own, F.lit(0))).select(*rows.columns, column)
+
+
 def admitted(rows: DataFrame, order: list[str], size: str, limits: Limits = Limits()) -> DataFrame:
     """verdict of each row by its length alone, before anything is rendered: null, too_large (over the document bound),
-    admitted (in order, while the running sum is within the batch budget) or deferred. For one claimed batch."""
+    admitted (in order, while the running sum is within the batch budget) or deferred. The order must be unique."""
     fits = F.col(size) <= limits.document_bytes
-    running = F.sum(F.when(fits, F.col(size)).otherwise(0)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("verdict", F.when(F.col(size).isNull(), "null").when(~fits, "too_large").when(running <= limits.batch_bytes, "admitted").otherwise("deferred"))
+    summed = with_running_sum(rows, [F.col(c) for c in order], F.when(fits, F.col(size)).otherwise(0), "__sum")
+    return summed.withColumn("verdict", F.when(F.col(size).isNull(), "null").when(~fits, "too_large").when(F.col("__sum") <= limits.batch_bytes, "admitted").otherwise("deferred")).drop("__sum")
 
 
 def budget_prefix(rows: DataFrame, order: list[Column], size: Column, most: int) -> DataFrame:
     """The longest prefix in order whose sizes stay within `most` (peers of equal order stand or fall together)."""
-    running = F.sum(size).over(Window.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("__sum", running).where(F.col("__sum") <= most).drop("__sum")
+    return with_running_sum(rows, order, size, "__sum").where(F.col("__sum") <= most).drop("__sum")
+
+
+def keyset_page(rows: DataFrame, key: str | list[str] | tuple[str, ...], after: object, n: int) -> DataFrame:
+    """The next n rows by key after a watermark (None: from the start). Of a key of several columns the watermark has as many
+    values, compared in order, so that rows that share the first ones aren't skipped at a page's edge."""
+    keys = key_list(key)
+    part = rows
+    if after is not None:
+        values = [after] if isinstance(key, str) else list(after)
+        later, same = F.lit(False), F.lit(True)
+        for name, value in zip(keys, values, strict=True):
+            later = later | (same & (F.col(name) > F.lit(value)))
+            same = same & (F.col(name) == F.lit(value))
+        part = rows.where(later)
+    return part.orderBy(*keys).limit(n)
+
+
+def watermark_of(page: DataFrame, key: list[str] | tuple[str, ...]) -> str | None:
+    """The last key of a page, to be kept as text: a value, or a JSON list of several; None if there are no rows."""
+    last = page.orderBy(*[F.col(k).desc() for k in key]).select(*[F.col(k).cast("string") for k in key]).first()
+    return None if last is None else last[0] if len(key) == 1 else json.dumps(list(last))
 
 
-def keyset_page(rows: DataFrame, key: str, after: object, n: int) -> DataFrame:
-    """The next n rows by key after a watermark (None: from the start)."""
-    part = rows if after is None else rows.where(F.col(key) > F.lit(after))
-    return part.orderBy(key).limit(n)
+def after_watermark(rows: DataFrame, key: list[str] | tuple[str, ...], watermark: str | None) -> list[Column] | None:
+    """A kept watermark as values of the key's types, for `keyset_page`."""
+    if watermark is None:
+        return None
+    values = [watermark] if len(key) == 1 else json.loads(watermark)
+    return [F.lit(v).cast(rows.schema[k].dataType) for k, v in zip(key, values, strict=True)]
 
 
 def staged(rows: DataFrame, key: str, keys: list) -> DataFrame:
@@ -131,7 +177,7 @@ def retried(dead_letters: DataFrame, pending: DataFrame, ids: list[int] | None,
         if found != len(set(ids)):
             raise ValueError(f"{len(set(ids)) - found} of the ids are not dead letters here")
     chosen = dead_letters if ids is None else dead_letters.where(F.col("dead_id").isin(ids))
-    chosen = chosen.orderBy("dead_id").limit(most)
+    chosen = chosen.orderBy("dead_id").limit(most)  # the rest stay dead letters for the next call
     newest = F.row_number().over(Window.partitionBy(*JOB_KEY).orderBy(F.col("dead_id").desc()))
     jobs = chosen.withColumn("__n", newest).where("__n = 1").drop("__n")
     if live_chunks is not None:
@@ -151,7 +197,7 @@ def child_verdicts(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
 def with_ids(rows: DataFrame, column: str, high_water: int, order: list[str]) -> DataFrame:
     """Ids above the persisted high-water mark, never reused. Rows are range-sorted and numbered by partition offsets, so no
     window has to take them all."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    spread = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}))
     spread = spread.withColumn("__r", F.col("__m") - F.shiftleft(F.col("__p").cast("bigint"), 33))
     sizes = {r["__p"]: r["n"] for r in spread.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row a partition
     at, offsets = high_water, []

@@ -17,6 +17,8 @@ from fathomline.functions import chunking, templates
 #: Types whose values have a plain text.
 TEXT_LIKE = (T.StringType, T.VarcharType, T.CharType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)
 MOST_NAME = 59
+#: Versions of a table that stay for its readers, and patches beyond which they are merged whatever their size.
+KEPT, MOST_PATCHES = 8, 256
 
 
 class CatalogError(ValueError):
@@ -50,7 +52,8 @@ class Entry:
 
 
 class Store:
-    """Tables as immutable Parquet versions under one root; a pointer file, replaced by rename, names the current one.
+    """Tables as immutable Parquet versions and patches under one root; a pointer file, replaced by rename, names the current
+    ones.
 
     All file access is by the cluster's file system, so the root can be anywhere Spark reads. One writer at a time."""
 
@@ -74,17 +77,60 @@ class Store:
             stream.close()
 
     def read(self, name: str) -> DataFrame | None:
+        """The current version with its patches merged in."""
         v = self.version(name)
-        return None if v is None else self.spark.read.schema(T.StructType.fromJson(v["schema"])).parquet(f"{self.root}/{name}/v={v['n']}")
+        if v is None:
+            return None
+        df = self.spark.read.schema(T.StructType.fromJson(v["schema"])).parquet(f"{self.root}/{name}/v={v['n']}")
+        for column in dict.fromkeys(p["column"] for p in v.get("patches", [])):
+            own = [p for p in v["patches"] if p["column"] == column]
+            keys = own[0]["keys"]
+            fresh = self.spark.read.parquet(*[self._patch(name, v["n"], p["i"]) for p in own])
+            last = fresh.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(F.struct("value"), "__i").alias("__last"))
+            on = F.lit(True)
+            for k in keys:
+                on = on & (F.col(k) == F.col(f"__{k}"))
+            new = F.when(F.col("__last").isNotNull(), F.col("__last.value")).otherwise(F.col(column))
+            df = df.join(last, on, "left").withColumn(column, new).select(*df.columns)
+        return df
+
+    def _patch(self, name: str, n: int, i: int) -> str:
+        return f"{self.root}/{name}/p={n}.{i}"
+
+    def patch(self, name: str, keys: list[str] | tuple[str, ...], column: str, fresh: DataFrame) -> int:
+        """Put values (the key's columns and `value`; null clears) into one column: only they are written, and merged when
+        read. Once patches hold a quarter as many rows as the table, they are merged into a new version, so that what is
+        written grows with the rows that change. Returns how many there were."""
+        v = self.version(name)
+        i = v.get("last_patch", 0) + 1
+        path = self._patch(name, v["n"], i)
+        fresh.select(*keys, "value", F.lit(i).alias("__i")).write.mode("overwrite").parquet(path)
+        rows = self.spark.read.parquet(path).count()
+        patches = [*v.get("patches", []), {"i": i, "column": column, "keys": list(keys), "rows": rows}]
+        self._point(name, {**v, "patches": patches, "last_patch": i})
+        base = self.spark.read.parquet(f"{self.root}/{name}/v={v['n']}").count()  # from the files' footers
+        if 4 * sum(p["rows"] for p in patches) >= base or len(patches) >= MOST_PATCHES:
+            self._write(name, self.read(name), v["n"], {k: x for k, x in v.items() if k not in ("n", "schema", "patches", "last_patch")})
+        return rows
 
     def write(self, name: str, df: DataFrame, **facts: object) -> int:
-        """A new version; readers of the old one keep it."""
-        n = (self.version(name) or {"n": 0})["n"] + 1
+        """A new version; readers of the old one keep it, until `KEPT` more have come."""
+        return self._write(name, df, (self.version(name) or {"n": 0})["n"], facts)
+
+    def _write(self, name: str, df: DataFrame, last: int, facts: dict) -> int:
+        n = last + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
-        body = json.dumps({"n": n, "schema": json.loads(df.schema.json()), **facts})
+        self._point(name, {"n": n, "schema": json.loads(df.schema.json()), **facts})
+        for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            kind, _, number = PurePosixPath(status.getPath().toString()).name.partition("=")
+            if kind in ("v", "p") and int(number.partition(".")[0]) <= n - KEPT:
+                self._fs.delete(status.getPath(), True)
+        return n
+
+    def _point(self, name: str, facts: dict) -> None:
         part = self._path(f"{self.root}/{name}/.{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
-        out.write(bytearray(body.encode()))
+        out.write(bytearray(json.dumps(facts).encode()))
         out.close()
         sc = self.spark.sparkContext
         kind = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -92,7 +138,6 @@ class Store:
         how[0] = kind.OVERWRITE
         context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
         context.rename(part, self._path(self._pointer(name)), how)
-        return n
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
@@ -177,7 +222,7 @@ class Catalog:
                 raise CatalogError(f"column {e.vector!r} exists; adopt it")
             self.store.write(table, df.withColumn(e.vector, F.lit(None).cast("array<float>")))
         else:
-            kind = df.schema[key[0]].dataType.simpleString()
+            kind = df.schema[key[0]].dataType.simpleString() if len(key) == 1 else "string"  # several columns: the key's text
             empty = self.store.spark.createDataFrame([], f"chunk_id bigint, source_pk {kind}, chunk_seq int, char_start bigint, char_end bigint, chunk_text string, {e.vector} array<float>")
             self.store.write(e.destination, empty, token=e.token, high_water=0)
         self._save([*self.entries(), e])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import templates
 from fathomline.operators import changes as C
+from fathomline.operators.lineage import cut
 from fathomline.plans.catalog import Catalog, Entry
 from fathomline.sources.embedders import Converter, Embedder, converted, embedded
 
@@ -50,6 +53,7 @@ class Migrator:
     converters: dict[tuple[str, str], Converter]
     batch_rows: int = BATCH_ROWS
     batch_bytes: int = BATCH_BYTES
+    document_bytes: int = C.Limits().document_bytes
     most_failures: int = 5
 
     def all(self) -> list[Migration]:
@@ -95,41 +99,45 @@ class Migrator:
         return self._save(Migration(max([m.id for m in self.all()], default=0) + 1, e.id, e.model, new_model, e.dim, dim, strategy, column, rows_total=total))
 
     def _batch(self, m: Migration, e: Entry) -> DataFrame:
-        df, key = self.catalog.store.read(e.table), e.key[0]
+        df = self.catalog.store.read(e.table)
         what = F.col(e.vector) if m.strategy == "convert" else templates.rendered(e.format, e.source)
-        after = None if m.last_pk is None else F.lit(m.last_pk).cast(df.schema[key].dataType)
-        page = C.keyset_page(df.where(F.col(m.column).isNull()).select(key, what.alias("what")).where("what is not null"), key, after, self.batch_rows)
+        rows = df.where(F.col(m.column).isNull()).select(*e.key, what.alias("what")).where("what is not null")
+        page = cut(C.keyset_page(rows, e.key, C.after_watermark(df, e.key, m.last_pk), self.batch_rows))
         size = F.size("what") * 4 if m.strategy == "convert" else F.octet_length("what")
-        first = page.orderBy(key).limit(1)
-        return C.budget_prefix(page, [F.col(key)], size, self.batch_bytes).unionByName(first).dropDuplicates([key])
+        first = page.orderBy(*e.key).limit(1)
+        return C.budget_prefix(page, [F.col(k) for k in e.key], size, self.batch_bytes).unionByName(first).dropDuplicates(list(e.key))
 
     def step(self, m: Migration) -> Migration:
         """One batch: convert or embed, put in where the new column is still null, move the watermark."""
         if m.state != "running":
             return m
         e = self._entry(m)
-        key = e.key[0]
-        batch = self._batch(m, e).checkpoint()
-        last = batch.agg(F.max(key)).first()[0]
+        batch = cut(self._batch(m, e))
+        last = C.watermark_of(batch, e.key)
         if last is None:
             return self._save(replace(m, state="awaiting_finalize"))
-        made = (converted(batch, "what", self.converters[e.model, m.new_model]) if m.strategy == "convert" else embedded(batch, "what", self.embedders[m.new_model])).checkpoint()
+        skipped = batch.limit(0)
+        if m.strategy == "reembed":  # as in the queue, a text over the document bound is never sent
+            skipped, batch = (batch.where(F.octet_length("what") > self.document_bytes), batch.where(F.octet_length("what") <= self.document_bytes))
+        made = cut(converted(batch, "what", self.converters[e.model, m.new_model]) if m.strategy == "convert" else embedded(batch, "what", self.embedders[m.new_model]))
         counts = {r.status: r["count"] for r in made.groupBy("status").count().collect()}
         if counts.get("retry"):
             error = made.where("status = 'retry'").first().error
             failed = m.failures + 1
             return self._save(replace(m, failures=failed, error=error, state="failed" if failed > self.most_failures else "running"))
-        df = self.catalog.store.read(e.table)
-        fresh = made.where("status = 'ok'").select(key, "vector", F.lit(False).alias("cleared"))
-        self.catalog.store.write(e.table, C.written_back(df, key, m.column, fresh, only_missing=True).checkpoint())
+        there = self.catalog.store.read(e.table).where(F.col(m.column).isNotNull()).select(*e.key)
+        fresh = made.where("status = 'ok'").join(there, list(e.key), "left_anti")
+        self.catalog.store.patch(e.table, e.key, m.column, fresh.select(*e.key, F.col("vector").alias("value")))
         ok = counts.get("ok", 0)
-        return self._save(replace(m, rows_done=m.rows_done + ok, rows_skipped=m.rows_skipped + sum(counts.values()) - ok, last_pk=str(last), failures=0, error=None))
-
-    def run(self, m: Migration, most_steps: int = 10_000) -> Migration:
-        for _ in range(most_steps):
-            if m.state != "running":
-                break
-            m = self.step(m)
+        return self._save(replace(m, rows_done=m.rows_done + ok, rows_skipped=m.rows_skipped + sum(counts.values()) - ok + skipped.count(), last_pk=last, failures=0, error=None))
+
+    def run(self, m: Migration, wait: Callable[[float], None] = time.sleep, most_steps: int | None = None) -> Migration:
+        """Steps until the migration is no longer running, with a growing pause after failures; or as many as asked for."""
+        steps = 0
+        while m.state == "running" and (most_steps is None or steps < most_steps):
+            m, steps = self.step(m), steps + 1
+            if m.failures and m.state == "running":
+                wait(self.backoff(m))
         return m
 
     def backoff(self, m: Migration, base_seconds: float = 5.0) -> float:

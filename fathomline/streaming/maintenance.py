@@ -2,21 +2,22 @@
 
 `Worker.refresh` is one round for one entry: capture what changed since the table's last seen version, queue it, claim a
 batch, read it within the byte budgets, embed, write back, settle. `follow` drives rounds from a change stream with
-`foreachBatch`; with `Trigger.AvailableNow` the same is a backfill. There is one writer, and every round ends in one
-snapshot, so a round that is lost is simply done again.
+`foreachBatch`; with `Trigger.AvailableNow` the same is a backfill. There is one writer. A round writes vectors, dead letters
+and the queue in this order; one that is lost in between is done again, with the same vectors and no letter twice.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathomline.functions import chunking, templates
 from fathomline.operators import changes as C
 from fathomline.operators.lexical import Keeper
+from fathomline.operators.lineage import cut
 from fathomline.operators.search import key_text
 from fathomline.plans.catalog import Catalog, Entry
 from fathomline.sources.embedders import Embedder, embedded
@@ -34,7 +35,7 @@ class Worker:
     embedders: dict[str, Embedder]
     limits: C.Limits = field(default_factory=C.Limits)
     keeper: Keeper = field(default_factory=Keeper)
-    counters: dict[str, int] = field(default_factory=lambda: {"rounds": 0, "embedded": 0, "dead": 0, "retried": 0})
+    counters: dict[str, int] = field(default_factory=lambda: {"rounds": 0, "embedded": 0, "dead": 0, "retried": 0, "left": 0})
 
     @property
     def spark(self):
@@ -60,7 +61,7 @@ class Worker:
         fresh = keys.select(F.lit(entry.id).cast("bigint").alias("registry_id"), "pk_value", F.lit(op).alias("op"), F.col("chunk_id").cast("bigint").alias("chunk_id"), F.lit(0).alias("attempts"), now.alias("not_before"), F.lit(None).cast("timestamp").alias("claimed_at"), F.lit(None).cast("string").alias("last_error"), now.alias("created_at"))
         top = self._next("jobs")
         new = C.with_ids(C.coalesced(jobs.where("claimed_at is null"), fresh), "id", top, ["pk_value", "chunk_id"])
-        kept = jobs.unionByName(new.select(*jobs.columns)).checkpoint()
+        kept = cut(jobs.unionByName(new.select(*jobs.columns)))
         n = kept.where(F.col("id") > top).count()
         self.catalog.store.write("jobs", kept, high_water=top + n)
         return n
@@ -80,10 +81,8 @@ class Worker:
         if self.jobs().where(F.col("registry_id") == entry.id).limit(page).count() >= page:
             return entry, 0
         df = self.catalog.store.read(entry.table)
-        key = entry.key[0]
-        after = None if entry.watermark is None else F.lit(entry.watermark).cast(df.schema[key].dataType)
-        rows = C.keyset_page(df, key, after, page).select(*entry.key, entry.source, *([entry.vector] if entry.chunking == "none" else []))
-        last = rows.agg(F.max(key).cast("string")).first()[0]
+        rows = cut(C.keyset_page(df, entry.key, C.after_watermark(df, entry.key, entry.watermark), page).select(*entry.key, entry.source, *([entry.vector] if entry.chunking == "none" else [])))
+        last = C.watermark_of(rows, entry.key)
         if last is None:
             new = replace(entry, backfill="done")
         else:
@@ -100,40 +99,40 @@ class Worker:
         old = self.catalog.store.read(table)
         entries = [e for e in self.catalog.entries() if e.table == table and e.state == "active"]
         queued = 0
-        key = entries[0].key[0] if entries else new.columns[0]
+        key = list(entries[0].key) if entries else [new.columns[0]]
         vectors = [e.vector for e in entries if e.chunking == "none"]
         for v in vectors:
             if v not in new.columns:
-                new = new.join(old.select(F.col(key).alias("__k"), v), F.col(key) == F.col("__k"), "left").drop("__k")
+                new = new.join(old.select(*key, v), key, "left")
         captured = []
         for e in entries:
             watched = [c for c in dict.fromkeys([e.source, *(templates.references(templates.parse(e.format)) if e.format else [])]) if c != "chunk"]
-            captured.append((e, C.changed_rows(old, new, key, watched, e.source).checkpoint()))
-        self.catalog.store.write(table, new.select(*[c for c in old.columns if c in new.columns], *[c for c in new.columns if c not in old.columns]).checkpoint())
+            captured.append((e, cut(C.changed_rows(old, new, key, watched, e.source))))
+        self.catalog.store.write(table, new.select(*[c for c in old.columns if c in new.columns], *[c for c in new.columns if c not in old.columns]))
         for e, diff in captured:
             if e.chunking != "none":
                 chunks = self.catalog.store.read(e.destination)
-                gone = diff.where("change != 'insert'").select(F.col(key).alias("source_pk"))
+                gone = diff.where("change != 'insert'").select(source_pk(e).alias("source_pk"))
                 v = self.catalog.store.version(e.destination)
-                self.catalog.store.write(e.destination, C.rechunked(chunks, gone, chunks.limit(0)).checkpoint(), token=v.get("token"), high_water=v.get("high_water", 0))
-            queued += self.enqueue(e, diff.where("change != 'delete'").select(F.col(key).cast("string").alias("pk_value"), F.lit(None).alias("chunk_id")), "embed" if e.chunking == "none" else "refresh")
+                self.catalog.store.write(e.destination, C.rechunked(chunks, gone, chunks.limit(0)), token=v.get("token"), high_water=v.get("high_water", 0))
+            queued += self.enqueue(e, diff.where("change != 'delete'").select(key_text(*e.key).alias("pk_value"), F.lit(None).alias("chunk_id")), "embed" if e.chunking == "none" else "refresh")
         return queued
 
     def truncate(self, table: str) -> None:
         """Empty a table with its jobs, chunks and statistics."""
         self.catalog.store.write(table, self.catalog.store.read(table).limit(0))
         for e in [e for e in self.catalog.entries() if e.table == table]:
-            self.catalog.store.write("jobs", self.jobs().where(F.col("registry_id") != e.id).checkpoint(), high_water=self._next("jobs"))
+            self.catalog.store.write("jobs", self.jobs().where(F.col("registry_id") != e.id), high_water=self._next("jobs"))
             if e.destination:
                 v = self.catalog.store.version(e.destination)
                 self.catalog.store.write(e.destination, self.catalog.store.read(e.destination).limit(0), token=v.get("token"), high_water=v.get("high_water", 0))
             self.keeper.truncated(f"{e.table}.{e.source}")
 
     def refresh(self, entry: Entry) -> int:
-        """One round for an entry; returns the number of jobs handled."""
+        """One round for an entry; returns the number of jobs that are not merely put off."""
         now, store = F.current_timestamp(), self.catalog.store
         queue, expired = C.released(self.jobs(), now, self.limits)
-        mine = C.claim(queue.where(F.col("registry_id") == entry.id), now, self.limits.batch_rows).checkpoint()
+        mine = cut(C.claim(queue.where(F.col("registry_id") == entry.id), now, self.limits.batch_rows))
         handled = mine.count()
         if not handled:
             return 0
@@ -151,32 +150,33 @@ class Worker:
         result = done[0]
         for d in done[1:]:
             result = result.unionByName(d)
-        result = result.checkpoint()
+        result = cut(result)
         now_jobs = self.jobs()  # splitting has queued children meanwhile
         rest = now_jobs.join(mine.select("id"), "id", "left_anti").join(expired.select("id"), "id", "left_anti")
         back, dead = C.settled(mine, result, now, self.limits)
         all_dead = dead.unionByName(expired).withColumn("dead_id", F.lit(0).cast("bigint"))
         top = self._next("jobs_dead")
-        kept_dead = self.dead().unionByName(C.with_ids(all_dead.drop("dead_id"), "dead_id", top, ["id"]).select(*self.dead().columns)).checkpoint()
+        # A round that was lost after this write is done again: its dead letters, known by their job, are not added twice.
+        new_dead = all_dead.drop("dead_id").join(self.dead().select("id"), "id", "left_anti")
+        kept_dead = cut(self.dead().unionByName(C.with_ids(new_dead, "dead_id", top, ["id"]).select(*self.dead().columns)))
         n_dead = kept_dead.where(F.col("dead_id") > top).count()
         store.write("jobs_dead", kept_dead, high_water=top + n_dead)
-        store.write("jobs", rest.unionByName(back.select(*rest.columns)).checkpoint(), high_water=self._next("jobs"))
+        store.write("jobs", rest.unionByName(back.select(*rest.columns)), high_water=self._next("jobs"))
         counts = {r.status: r["count"] for r in result.groupBy("status").count().collect()}
         for name, value in (("rounds", 1), ("embedded", counts.get("ok", 0)), ("dead", n_dead), ("retried", counts.get("retry", 0))):
             self.counters[name] += value
-        return handled
+        return handled - counts.get("deferred", 0)
 
     def _embed_rows(self, e: Entry, source: DataFrame, jobs: DataFrame) -> DataFrame:
         store = self.catalog.store
         keyed = source.withColumn("__k", key_text(*e.key))
         sized = jobs.select(F.col("id").alias("__job"), "pk_value", F.col("created_at").alias("__at")).join(keyed.withColumn("__size", templates.rendered_bytes(e.format, e.source)), F.col("pk_value") == F.col("__k"), "left")
         judged = C.admitted(sized, ["__at", "__job"], "__size", self.limits)
-        texts = judged.where("verdict = 'admitted'").select("__job", "pk_value", templates.rendered(e.format, e.source).alias("text"))
-        made = embedded(texts, "text", self.embedders[e.model]).checkpoint()
-        empty = judged.where("verdict = 'null'").select("__job", "pk_value")
-        fresh = made.where("status = 'ok'").select("pk_value", "vector", F.lit(False).alias("cleared")).unionByName(empty.select("pk_value", F.lit(None).cast("array<float>").alias("vector"), F.lit(True).alias("cleared")))
-        written = C.written_back(keyed, "__k", e.vector, fresh.withColumnRenamed("pk_value", "__k"))
-        store.write(e.table, written.drop("__k").checkpoint())
+        texts = judged.where("verdict = 'admitted'").select("__job", *e.key, templates.rendered(e.format, e.source).alias("__text"))
+        made = cut(embedded(texts, "__text", self.embedders[e.model]))
+        empty = judged.where("verdict = 'null'").select("__job", *e.key)
+        cleared = empty.where(F.col(e.key[0]).isNotNull()).select(*e.key, F.lit(None).cast("array<float>").alias("value"))  # else the row is gone
+        store.patch(e.table, e.key, e.vector, made.where("status = 'ok'").select(*e.key, F.col("vector").alias("value")).unionByName(cleared))
         none = F.lit(None).cast("string")
         parts = [
             made.select("__job", "status", "error"),
@@ -193,14 +193,14 @@ class Worker:
         """Replace the chunks of changed documents and queue the new ones, in one snapshot of the chunk table."""
         if not jobs.limit(1).count():
             return jobs.select("id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")).limit(0)
-        store, key = self.catalog.store, e.key[0]
-        docs = jobs.select("pk_value").join(source.withColumn("__k", F.col(key).cast("string")), F.col("pk_value") == F.col("__k"))
-        chunks, refused = chunking.chunked(docs, key, e.source, e.chunk_size, e.chunk_overlap)
+        store = self.catalog.store
+        docs = jobs.select("pk_value").join(source.withColumns({"__k": key_text(*e.key), "__pk": source_pk(e)}), F.col("pk_value") == F.col("__k"))
+        chunks, refused = chunking.chunked(docs, "__pk", e.source, e.chunk_size, e.chunk_overlap)
         v = store.version(e.destination)
         top = int(v.get("high_water", 0))
-        fresh = C.with_ids(chunks, "chunk_id", top, ["source_pk", "chunk_seq"]).checkpoint()
-        touched = jobs.select(F.col("pk_value").try_cast(source.schema[key].dataType).alias("source_pk"))
-        store.write(e.destination, C.rechunked(store.read(e.destination), touched, fresh).checkpoint(), token=v.get("token"), high_water=top + fresh.count())
+        fresh = cut(C.with_ids(chunks, "chunk_id", top, ["source_pk", "chunk_seq"]))
+        touched = jobs.select((F.col("pk_value").try_cast(source.schema[e.key[0]].dataType) if len(e.key) == 1 else F.col("pk_value")).alias("source_pk"))
+        store.write(e.destination, C.rechunked(store.read(e.destination), touched, fresh), token=v.get("token"), high_water=top + fresh.count())
         self.enqueue(e, fresh.select(F.col("source_pk").cast("string").alias("pk_value"), "chunk_id"))
         errors = refused.select(F.col("source_pk").cast("string").alias("pk_value"), F.col("error").alias("__e"))
         return jobs.join(errors, "pk_value", "left").select("id", F.when(F.col("__e").isNull(), "ok").otherwise("dead").alias("status"), F.col("__e").alias("error"))
@@ -209,21 +209,21 @@ class Worker:
         store = self.catalog.store
         judged = C.child_verdicts(jobs, store.read(e.destination))
         live = judged.where("verdict = 'live'").select(F.col("id").alias("__job"), "chunk_id", "pk_value", "chunk_text")
-        joined = live.join(source.withColumn("__k", F.col(e.key[0]).cast("string")), F.col("pk_value") == F.col("__k"))
-        made = embedded(joined.select("__job", "chunk_id", templates.rendered(e.format, e.source, chunk="chunk_text").alias("text")), "text", self.embedders[e.model]).checkpoint()
-        v = store.version(e.destination)
-        fresh = made.where("status = 'ok'").select("chunk_id", "vector", F.lit(False).alias("cleared"))
-        store.write(e.destination, C.written_back(store.read(e.destination), "chunk_id", e.vector, fresh).checkpoint(), token=v.get("token"), high_water=v.get("high_water", 0))
+        joined = live.join(source.withColumn("__k", key_text(*e.key)), F.col("pk_value") == F.col("__k"))
+        made = cut(embedded(joined.select("__job", "chunk_id", templates.rendered(e.format, e.source, chunk="chunk_text").alias("text")), "text", self.embedders[e.model]))
+        store.patch(e.destination, ["chunk_id"], e.vector, made.where("status = 'ok'").select("chunk_id", F.col("vector").alias("value")))
         return made.select(F.col("__job").alias("id"), "status", "error").unionByName(judged.where("verdict != 'live'").select("id", F.col("verdict").alias("status"), F.when(F.col("verdict") == "dead", "chunk is missing or of another key").alias("error")))
 
-    def drain(self, most_rounds: int = 100) -> int:
-        """Rounds over all entries in turn until nothing is due; then at most one refresh of statistics."""
-        total = 0
-        for _ in range(most_rounds):
+    def drain(self, most_rounds: int | None = None) -> int:
+        """Rounds over all entries in turn until nothing is due, or as many as asked for (`counters["left"]` says how many
+        due jobs that leaves); then at most one refresh of statistics."""
+        total = rounds = 0
+        while most_rounds is None or rounds < most_rounds:
             n = sum(self.refresh(e) for e in self.catalog.entries() if e.state == "active")
-            total += n
+            total, rounds = total + n, rounds + 1
             if not n:
                 break
+        self.counters["left"] = C.due(self.jobs(), F.current_timestamp()).count()
         changes = {f"{e.table}.{e.source}": (self.catalog.store.version(e.table) or {}).get("n", 0) for e in self.catalog.entries()}
         for e in self.catalog.entries():
             df, text = (self.catalog.store.read(e.destination), "chunk_text") if e.destination else (self.catalog.store.read(e.table), e.source)
@@ -236,25 +236,31 @@ class Worker:
         mine, others = self.dead().where(F.col("registry_id") == entry.id), self.dead().where(F.col("registry_id") != entry.id)
         live = self.catalog.store.read(entry.destination) if entry.destination else None
         jobs, rest = C.retried(mine, self.jobs(), ids, F.current_timestamp(), live)
-        n = self.enqueue(entry, jobs.select("pk_value", "chunk_id").checkpoint(), "embed" if entry.chunking == "none" else "refresh")
-        self.catalog.store.write("jobs_dead", others.unionByName(rest.select(*others.columns)).checkpoint(), high_water=self._next("jobs_dead"))
+        n = self.enqueue(entry, cut(jobs.select("pk_value", "chunk_id")), "embed" if entry.chunking == "none" else "refresh")
+        self.catalog.store.write("jobs_dead", cut(others.unionByName(rest.select(*others.columns))), high_water=self._next("jobs_dead"))
         return n
 
 
-def follow(worker: Worker, stream: DataFrame, table: str, key: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def source_pk(e: Entry) -> Column:
+    """How chunks name their document: by its key, or by the text of a key of several columns."""
+    return F.col(e.key[0]) if len(e.key) == 1 else key_text(*e.key)
+
+
+def follow(worker: Worker, stream: DataFrame, table: str, key: str | list[str], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Apply a stream of changes (the table's columns and `__op`: upsert or delete, `__seq`: order) in micro-batches: the
     last change of each key counts; each batch is applied, then the queue is drained."""
 
     def batch(df: DataFrame, _: int) -> None:
         from pyspark.sql import Window
 
-        last = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("__seq").desc()))).where("__n = 1")
+        keys = C.key_list(key)
+        last = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__seq").desc()))).where("__n = 1")
         old = worker.catalog.store.read(table)
-        kept = old.join(last.select(key), key, "left_anti")
+        kept = old.join(last.select(*keys), keys, "left_anti")
         fresh = last.where("__op != 'delete'").select(*[c for c in old.columns if c in df.columns])
         vectors = [c for c in old.columns if c not in df.columns]
-        fresh = fresh.join(old.select(key, *vectors), key, "left") if vectors else fresh
-        worker.apply(table, kept.unionByName(fresh.select(*old.columns)).checkpoint())
+        fresh = fresh.join(old.select(*keys, *vectors), keys, "left") if vectors else fresh
+        worker.apply(table, cut(kept.unionByName(fresh.select(*old.columns))))
         worker.drain()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -160,7 +160,7 @@ def test_migration(spark, catalog):
     with pytest.raises(MigrationError):
         g.finalize(m)
     df = catalog.store.read("mig")  # a fresh write meanwhile is newer than its conversion
-    catalog.store.write("mig", df.withColumn("body_semantic_new", F.when(F.col("id") == 3, F.array(*[F.lit(9.0).cast("float")] * 4)).otherwise(F.col("body_semantic_new"))).checkpoint())
+    catalog.store.write("mig", df.withColumn("body_semantic_new", F.when(F.col("id") == 3, F.array(*[F.lit(9.0).cast("float")] * 4)).otherwise(F.col("body_semantic_new"))))
     m = g.run(m)
     assert m.state == "awaiting_finalize" and g.finalize(m).state == "done"
     v = vectors(catalog, "mig")
@@ -189,3 +189,113 @@ def test_catalogue_and_word_vectors(spark, tmp_path):
     (tmp_path / "w.bin").write_bytes(b"2 2\nKing " + struct.pack("<2f", 3, 4) + b"\nqueen " + struct.pack("<2f", 0, 2))
     words = {r.word: list(r.vector) for r in E.word_vectors(spark, str(tmp_path / "w.bin")).collect()}
     assert words["king"] == pytest.approx([0.6, 0.8]) and words["queen"] == [0, 1]
+
+
+def test_patches_are_merged_and_cost_what_changes(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.write("t", spark.range(1000).selectExpr("id as a", "id % 7 as b", "cast(null as string) as v", "'x' as w"), token="k")
+    for i in range(12):
+        s.patch("t", ["a", "b"], "v", spark.range(1000).where(f"id % 100 = {i}").selectExpr("id as a", "id % 7 as b", f"'v{i}' as value"))
+    s.patch("t", ["a", "b"], "v", spark.createDataFrame([(3, 3, None), (4, 4, "again"), (4, 5, "no such key")], "a long, b long, value string"))
+    s.patch("t", ["a", "b"], "w", spark.createDataFrame([(3, 3, "y")], "a long, b long, value string"))
+    rows = {r.a: (r.v, r.w) for r in s.read("t").collect()}
+    assert len(rows) == 1000 and rows[3] == (None, "y") and rows[4] == ("again", "x") and rows[103] == ("v3", "x") and rows[50] == (None, "x")
+    assert s.version("t")["n"] == 1 and s.version("t")["token"] == "k"
+    s.patch("t", ["a", "b"], "v", spark.range(200).selectExpr("id as a", "id % 7 as b", "'late' as value"))
+    v = s.version("t")
+    assert v["n"] == 2 and v["token"] == "k" and not v.get("patches")  # merged: a quarter of the rows had patches
+    assert s.read("t").where("v = 'late'").count() == 200 and s.read("t").where("v is not null").count() == 200 + 12 * 8
+    for i in range(12):
+        s.write("t", spark.range(i).toDF("x"))
+    assert s.read("t").count() == 11 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v=")]) == 8
+
+
+def test_drain_has_no_bound_of_its_own(catalog):
+    e = catalog.enable("docs", "body", "m", 3, ["id"])
+    w = Worker(catalog, {"m": E.MockEmbedder(3)}, C.Limits(batch_rows=1))
+    w.backfill(e)
+    assert w.drain(2) == 2 and w.counters["left"] == 3
+    left = iter([1] * 250 + [0])
+    w.refresh = lambda entry: next(left)
+    assert w.drain() == 250
+
+
+def test_a_lost_round_adds_no_letter_twice(catalog):
+    e = catalog.enable("docs", "body", "m", 3, ["id"])
+    w = Worker(catalog, {"m": E.MockEmbedder(3)})
+    w.backfill(e)
+    write = catalog.store.write
+
+    def failing(name, df, **facts):
+        if name == "jobs":
+            raise RuntimeError("lost")
+        return write(name, df, **facts)
+
+    catalog.store.write = failing
+    with pytest.raises(RuntimeError):
+        w.refresh(e)
+    catalog.store.write = write
+    dead = sorted(r.pk_value for r in w.dead().collect())
+    assert dead and w.jobs().count() == 5
+    w.refresh(e)
+    assert sorted(r.pk_value for r in w.dead().collect()) == dead and vectors(catalog)[2][0] == 2
+
+
+@pytest.fixture
+def pairs(spark, catalog):
+    catalog.store.write("pairs", spark.createDataFrame([(1, 1, "a"), (1, 2, "bb"), (1, 3, "ccc"), (2, 1, "dddd"), (2, 2, None)], "a long, b long, body string"))
+    return catalog
+
+
+def both(catalog, column="body_semantic"):
+    return {(r.a, r.b): r[column] and r[column][0] for r in catalog.store.read("pairs").collect()}
+
+
+def test_keys_of_two_columns(spark, pairs):
+    e = pairs.enable("pairs", "body", "m", 3, ["a", "b"])
+    w = Worker(pairs, {"m": E.MockEmbedder(3)})
+    pages = []
+    while e.backfill != "done":
+        e, n = w.backfill_page(e, 2)
+        pages.append(n)
+        w.drain()
+    assert pages == [2, 2, 0, 0] and both(pairs) == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 4, (2, 2): None}
+    w.apply("pairs", spark.createDataFrame([(1, 1, "a"), (1, 2, "longer"), (2, 1, "dddd"), (2, 3, "x")], "a long, b long, body string"))
+    assert sorted(r.pk_value for r in w.jobs().collect()) == ["(1,2)", "(2,3)"]
+    w.drain()
+    assert both(pairs) == {(1, 1): 1, (1, 2): 6, (2, 1): 4, (2, 3): 1}
+    g = Migrator(pairs, {}, {("m", "m2"): E.MockConverter(3, 2)}, batch_rows=2)
+    m = g.run(g.start("pairs", "body", "m2"))
+    assert (m.rows_done, m.last_pk) == (4, '["2", "3"]') and g.finalize(m).state == "done"
+    assert all(v is not None for v in both(pairs).values())
+
+
+def test_chunks_of_keys_of_two_columns(spark, pairs):
+    e = pairs.enable("pairs", "body", "m", 2, ["a", "b"], chunking="recursive", chunk_size=64, chunk_overlap=0)
+    w = Worker(pairs, {"m": E.MockEmbedder(2)})
+    w.backfill(e)
+    w.drain()
+    rows = pairs.store.read(e.destination).orderBy("chunk_id").collect()
+    assert [(r.source_pk, r.chunk_text, r.body_semantic[0]) for r in rows] == [("(1,1)", "a", 1), ("(1,2)", "bb", 2), ("(1,3)", "ccc", 3), ("(2,1)", "dddd", 4)]
+    w.apply("pairs", spark.createDataFrame([(1, 1, "a"), (1, 2, "new"), (2, 1, "dddd")], "a long, b long, body string"))
+    w.drain()
+    assert {(r.source_pk, r.chunk_text) for r in pairs.store.read(e.destination).collect()} == {("(1,1)", "a"), ("(1,2)", "new"), ("(2,1)", "dddd")}
+
+
+def test_running_sums_and_turns(spark):
+    df = spark.createDataFrame([(i, i // 3, (i * 7) % 11 if i % 13 else None) for i in range(300)], "id long, g long, n long").repartition(7)
+    got = {r.id: r.s for r in C.with_running_sum(df, [F.col("g")], F.col("n"), "s").collect()}
+    assert all(got[i] == sum((j * 7) % 11 for j in range(i // 3 * 3 + 3) if j % 13) for i in range(300))
+    now = F.timestamp_seconds(F.lit(1000))
+    jobs = spark.createDataFrame([(i, i % 4) for i in range(40)], "id long, registry_id long").withColumns({"not_before": F.timestamp_seconds(F.lit(0)), "claimed_at": F.lit(None).cast("timestamp"), "attempts": F.lit(0)})
+    assert [r.registry_id for r in C.claim(jobs, now, 3).collect()] == [0, 1, 2]
+    assert [r.registry_id for r in C.claim(jobs, now, 3, after=2).collect()] == [3, 0, 1]
+
+
+def test_large_texts_are_skipped_and_failures_wait(spark, catalog):
+    catalog.store.write("mig", spark.createDataFrame([(1, "a", [1.0] * 3), (2, "b" * 50, [2.0] * 3), (3, "later", [3.0] * 3)], "id long, body string, body_semantic array<float>"))
+    catalog.adopt("mig", "body", "m", 3, ["id"], "body_semantic")
+    g = Migrator(catalog, {"m3": E.MockEmbedder(5)}, {}, batch_rows=2, document_bytes=20, most_failures=2)
+    waited = []
+    m = g.run(g.start("mig", "body", "m3"), wait=waited.append)
+    assert (m.state, m.rows_done, m.rows_skipped, m.failures) == ("failed", 1, 1, 3) and waited == [10.0, 20.0]
