@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import vectors as V
+from fathomline.operators.lineage import cut
 
 #: Query tables up to this many vectors are broadcast; larger ones go block by block.
 QUERY_BLOCK = 4096
@@ -29,47 +30,72 @@ def nearest(df: DataFrame, key: str, vector: str, query: list[float], k: int, di
 def nearest_many(df: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, distance: str = "cosine") -> DataFrame:
     """query_key, key, distance and rank of the k rows nearest to each query (a stated set against all rows, in blocks).
 
-    A block of queries is broadcast at a time; each task keeps the k best of each query before the shuffle."""
+    A block of queries is broadcast at a time. Each task keeps the k best of each query with their vectors, from which the
+    exact distance is then computed, so the table is read once a block and never joined. Rows may share keys or have none;
+    distances that are not numbers (of zero vectors) come last, by key."""
     import pyarrow as pa
 
-    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<float>").alias("v"))
-    kinds = f"q {q.schema['q'].dataType.simpleString()}, k {df.schema[key].dataType.simpleString()}, distance double"
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"))
+    q = queries.where(F.col(query_vector).isNotNull()).select(F.monotonically_increasing_id().alias("n"), F.col(query_key).alias("q"), F.col(query_vector).cast("array<float>").alias("w"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(key).cast("string").alias("t"), F.col(vector).cast("array<float>").alias("v"))
+    kinds = f"n bigint, k {df.schema[key].dataType.simpleString()}, t string, v array<float>"
 
     def local(block):
-        ids = [r.q for r in block]
-        m = np.array([r.v for r in block], np.float64)
+        ids = [r.n for r in block]
+        m = np.array([r.w for r in block], np.float64)
+
+        def far(x: np.ndarray) -> np.ndarray:
+            if distance == "cosine":
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = 1 - (m @ x.T) / np.outer(np.sqrt((m * m).sum(1)), np.sqrt((x * x).sum(1)))
+                return np.where(np.isnan(d), np.inf, d)
+            if distance == "l2":
+                return np.sqrt(np.maximum((m * m).sum(1)[:, None] + (x * x).sum(1) - 2 * m @ x.T, 0))
+            return -(m @ x.T)
+
+        def kept(d: np.ndarray, names: list) -> np.ndarray:
+            """Places of the k least, and of those so close to the last that the exact distance must decide; infinite ones
+            are equal, and decided by name."""
+            if len(d) <= k:
+                return np.arange(len(d))
+            edge = np.partition(d, k - 1)[k - 1]
+            if np.isfinite(edge):
+                return np.flatnonzero(d <= edge + 1e-9 * max(1.0, abs(edge)))
+            finite, rest = np.flatnonzero(np.isfinite(d)), np.flatnonzero(~np.isfinite(d))
+            rest = sorted(rest.tolist(), key=lambda i: (names[i] is not None, names[i] or ""))
+            return np.concatenate([finite, np.array(rest[: k - len(finite)], np.int64)])
 
         def each(batches):
-            best_d, best_k = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), object)
+            held = None  # per query: distances, and the rows they are of
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = np.array(b.column("v").flatten().to_numpy(), np.float64).reshape(b.num_rows, -1)
-                if distance == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        d = 1 - (m @ x.T) / np.outer(np.sqrt((m * m).sum(1)), np.sqrt((x * x).sum(1)))
-                elif distance == "l2":
-                    d = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (x * x).sum(1) - 2 * m @ x.T, 0))
+                d = far(np.array(b.column("v").flatten().to_numpy(), np.float64).reshape(b.num_rows, -1))
+                names = b.column("t").to_pylist()
+                picks = [kept(row, names) for row in d]
+                used, place = np.unique(np.concatenate(picks), return_inverse=True)
+                part, at = b.take(pa.array(used)), np.cumsum([0, *map(len, picks)])
+                if held is None:
+                    table, best = part, [(d[i][p], place[x:y]) for i, (p, x, y) in enumerate(zip(picks, at, at[1:]))]
                 else:
-                    d = -(m @ x.T)
-                keys = np.broadcast_to(np.array(b.column("k").to_pylist(), object), d.shape)
-                best_d, best_k = np.concatenate([best_d, d], 1), np.concatenate([best_k, keys], 1)
-                if best_d.shape[1] > 4 * k:  # ties at the edge stay in: they are settled by key below
-                    edge = np.sort(best_d, 1)[:, k - 1 : k]
-                    keep = best_d <= edge + 1e-9
-                    width = int(keep.sum(1).max())
-                    at = np.argsort(~keep, 1, kind="stable")[:, :width]
-                    best_d, best_k = np.take_along_axis(best_d, at, 1), np.take_along_axis(best_k, at, 1)
-            at = np.argsort(best_d, 1, kind="stable")
-            for i, name in enumerate(ids):
-                own = at[i]
-                edge = best_d[i, own[min(k, len(own)) - 1]] + 1e-9 if len(own) else 0
-                own = own[(best_d[i, own] <= edge) | (np.arange(len(own)) < k)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(list(best_k[i, own])), pa.array(best_d[i, own])], names=["q", "k", "distance"])
+                    base = table.num_rows
+                    table = pa.Table.from_batches([table, part]).combine_chunks().to_batches()[0]
+                    names = table.column("t").to_pylist()
+                    best = []
+                    for i, (p, x, y) in enumerate(zip(picks, at, at[1:])):
+                        both, where = np.concatenate([held[i][0], d[i][p]]), np.concatenate([held[i][1], place[x:y] + base])
+                        good = kept(both, [names[w] for w in where] if not np.isfinite(both).all() else names)
+                        best.append((both[good], where[good]))
+                    used, place = np.unique(np.concatenate([w for _, w in best]), return_inverse=True)
+                    table, at = table.take(pa.array(used)), np.cumsum([0, *(len(w) for _, w in best)])
+                    best = [(x, place[lo:hi]) for (x, _), lo, hi in zip(best, at, at[1:])]
+                held = best
+            for i, (_, where) in enumerate(held or []):
+                own = table.take(pa.array(where))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), ids[i])), own.column("k"), own.column("t"), own.column("v")], names=["n", "k", "t", "v"])
 
         return rows.mapInArrow(each, kinds)
 
+    q = cut(q)  # numbered once
     out, block = None, []
 
     def add(part):
@@ -81,8 +107,8 @@ def nearest_many(df: DataFrame, key: str, vector: str, queries: DataFrame, query
             out, block = add(block), []
     if block or out is None:
         out = add(block) if block else df.sparkSession.createDataFrame([], kinds)
-    exact = out.join(rows, "k").join(q.withColumnRenamed("v", "w"), "q").select("q", "k", V.search_distance(distance, "v", "w").alias("distance"))
-    first = Window.partitionBy("q").orderBy(F.col("distance").asc_nulls_last(), F.col("k").cast("string"))
+    exact = out.join(q, "n").select("n", "q", "k", "t", V.search_distance(distance, "v", "w").alias("distance"))
+    first = Window.partitionBy("n").orderBy(F.col("distance").asc_nulls_last(), F.col("t"))
     top = exact.withColumn("rank", F.row_number().over(first).cast("bigint")).where(F.col("rank") <= k)
     return top.select(F.col("q").alias(query_key), F.col("k").alias(key), "distance", "rank")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import time
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +79,80 @@ def scored(df: DataFrame, text: str, query: str, stats: Statistics | None, confi
     return rows.withColumn("score", X.cover_density(F.col("__t"), terms)).drop("__t")
 
 
+def _terms(node: X.Node | None) -> list[str]:
+    """All lexemes of a query, excluded ones too."""
+    if node is None:
+        return []
+    if isinstance(node, X.Phrase):
+        return sorted({w for w, _ in node.words})
+    return _terms(node.of) if isinstance(node, X.Not) else sorted({t for p in node.parts for t in _terms(p)})
+
+
+def _holds(places: Column, node: X.Node) -> Column:
+    """Whether places, an array of (term, positions), satisfy the query."""
+    at = lambda w: F.flatten(F.transform(F.filter(places, lambda x: x["term"] == w), lambda x: x["positions"]))
+    if isinstance(node, X.Not):
+        return ~_holds(places, node.of)
+    if isinstance(node, X.Phrase):
+        moved = [F.transform(at(w), partial(_less, d)) for w, d in node.words]
+        return F.size(reduce(F.array_intersect, moved)) > 0
+    return reduce(operator.and_ if isinstance(node, X.Both) else operator.or_, [_holds(places, p) for p in node.parts])
+
+
+def _less(d: int, p: Column) -> Column:
+    return p - d
+
+
+def _tf(places: Column, term: str) -> Column:
+    return F.aggregate(F.filter(places, lambda x: x["term"] == term), F.lit(0), lambda a, x: a + F.size(x["positions"])).cast("double")
+
+
+#: Folders that an index's terms are dealt to, so that a query lists and reads few of them.
+BUCKETS = 64
+
+
+@dataclass
+class Index:
+    """Postings with lengths and the corpus's statistics, written once; a query reads its terms' postings only."""
+
+    rows: DataFrame
+    n: int
+    avgdl: float
+    config: str
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, text: str, path: str, config: str = "simple") -> Index:
+        """Write (bucket, term, key, n, positions) below `path`, sorted by term and key: a frequent term is split over
+        files, and files and row groups of other terms are skipped by their bounds."""
+        spark = df.sparkSession
+        docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), X.tokens(text, config).alias("t"))
+        docs = docs.withColumn("n", F.size(F.filter("t", lambda t: t.isNotNull())))
+        placed = docs.select("key", "n", F.posexplode("t").alias("p", "term")).where("term is not null")
+        posts = placed.groupBy("key", "n", "term").agg(F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        order = ["bucket", "term", "key"]
+        posts.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+        n, total = docs.agg(F.count("*"), F.sum("n")).first()
+        return cls(spark.read.parquet(path), n, total / n if n and total else 1.0, config)
+
+    def scored(self, query: str) -> DataFrame | None:
+        """key and score (BM25) of the matching documents, as `scored` has them; none for a query that only excludes."""
+        node = X.parse_query(query, self.config)
+        terms, wanted = _terms(node), X.positive_terms(node)
+        if node is not None and not wanted:
+            return None
+        spark = self.rows.sparkSession
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int")).collect()] if terms else []
+        posts = self.rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        dfs = {r.term: r["count"] for r in posts.groupBy("term").count().collect()} if terms else {}
+        docs = posts.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("term", "positions")).alias("places"))
+        score = F.lit(0.0)
+        for t in wanted:
+            tf = _tf(F.col("places"), t)
+            score = score + idf(float(max(1, dfs.get(t, 1))), float(self.n)) * tf * (K1 + 1) / (tf + K1 * (1 - B) + K1 * B * F.col("n").cast("double") / F.lit(float(self.avgdl)))
+        holds = F.lit(False) if node is None else _holds(F.col("places"), node)
+        return docs.where(holds).select("key", score.alias("score"))
+
+
 @dataclass
 class Keeper:
     """Keeps statistics of several corpora fresh: which is stale, and refreshing it without ever losing the old ones."""

@@ -79,9 +79,14 @@ def semantic_leg(rows: DataFrame, key: str, vector: str, query: list[float], dis
     return ranked(near.orderBy(*order).limit(depth), order, "semantic_rank")
 
 
-def lexical_leg(rows: DataFrame, key: str, text: str, query: str, stats: lexical.Statistics | None, config: str, depth: int, as_text: bool = True) -> DataFrame:
-    """key, fts_score, fts_rank; equal scores by key (as text, or as it is for chunks)."""
-    hits = lexical.scored(rows.select(key, text), text, query, stats, config).select(key, F.col("score").alias("fts_score"))
+def lexical_leg(rows: DataFrame, key: str, text: str, query: str, stats: lexical.Statistics | None, config: str, depth: int, as_text: bool = True, index: lexical.Index | None = None) -> DataFrame:
+    """key, fts_score, fts_rank; equal scores by key (as text, or as it is for chunks). With an index only the query's
+    postings are read; `rows` then says which documents may be found."""
+    found = index.scored(query) if index is not None else None
+    if found is not None:
+        hits = found.select(F.col("key").alias(key), F.col("score").alias("fts_score")).join(rows.select(key), key, "left_semi")
+    else:
+        hits = lexical.scored(rows.select(key, text), text, query, stats, config).select(key, F.col("score").alias("fts_score"))
     order = [F.col("fts_score").desc_nulls_last(), F.col(key).cast("string") if as_text else F.col(key)]
     return ranked(hits.orderBy(*order).limit(depth), order, "fts_rank")
 
@@ -116,7 +121,7 @@ class HybridIndex:
     """A table with a text and a vector column, its statistics, and how a query becomes a vector.
 
     For chunked search, `chunks` has chunk_id, source_pk, chunk_seq, char_start, char_end, chunk_text and the vector, and
-    joins `table` on its key; filters are on the table's columns."""
+    joins `table` on its key (source_pk being the text of a key of several columns); filters are on the table's columns."""
 
     table: DataFrame
     key: str | list[str]
@@ -130,12 +135,21 @@ class HybridIndex:
     degrade: bool = True
     chunks: DataFrame | None = None
     half: bool = False
+    index: lexical.Index | None = None
 
     def refreshed(self) -> HybridIndex:
         source, text = (self.chunks, "chunk_text") if self.chunks is not None else (self.table, self.text)
         self.stats = lexical.statistics(source, text, self.config)
         return self
 
+    def indexed(self, path: str) -> HybridIndex:
+        """Write postings and statistics below `path`; searches read these instead of the texts from then on."""
+        if self.chunks is not None:
+            self.index = lexical.Index.build(self.chunks, "chunk_id", "chunk_text", path, self.config)
+        else:
+            self.index = lexical.Index.build(self._keyed(None), "pk_value", self.text, path, self.config)
+        return self
+
     def _keyed(self, filter: str | dict | None) -> DataFrame:
         keys = [self.key] if isinstance(self.key, str) else list(self.key)
         p = compile_filter(self.table, filter)
@@ -169,7 +183,7 @@ class HybridIndex:
         if self.chunks is not None:
             return self._chunked(rows, vector, query, spec)
         final = [F.col("rrf_score").desc_nulls_last(), F.col("pk_value")]
-        fts = lexical_leg(rows, "pk_value", self.text, query, self.stats, self.config, spec.depth)
+        fts = lexical_leg(rows, "pk_value", self.text, query, self.stats, self.config, spec.depth, index=self.index)
         if vector is None:
             out = fts.withColumn("rrf_score", F.lit(1.0) / (F.lit(float(spec.rrf_k)) + F.col("fts_rank")))
         else:
@@ -177,14 +191,17 @@ class HybridIndex:
         return _as_result(out.orderBy(*final).limit(spec.limit)).orderBy(*final)
 
     def _chunked(self, rows: DataFrame, vector: list[float] | None, query: str, spec: Spec) -> DataFrame:
-        source = rows.select(F.col(self.key if isinstance(self.key, str) else self.key[0]).alias("source_pk"), "pk_value")
+        keys = [self.key] if isinstance(self.key, str) else list(self.key)
+        source = rows.select(F.col(keys[0] if len(keys) == 1 else "pk_value").alias("source_pk"), "pk_value")
         pool = self.chunks.join(source, "source_pk")
-        fts = lexical_leg(pool, "chunk_id", "chunk_text", query, self.stats, self.config, spec.depth, as_text=False)
+        fts = lexical_leg(pool, "chunk_id", "chunk_text", query, self.stats, self.config, spec.depth, as_text=False, index=self.index)
         if vector is None:
             fused = fts.withColumn("rrf_score", F.lit(1.0) / (F.lit(float(spec.rrf_k)) + F.col("fts_rank"))).withColumns({"semantic_rank": F.lit(None).cast("bigint"), "semantic_distance": F.lit(None).cast("double")})
         else:
             fused = fuse(semantic_leg(pool, "chunk_id", self.vector, vector, self.distance, spec.depth, self.half), fts, "chunk_id", spec)
-        placed = fused.join(pool.select("chunk_id", "pk_value", "chunk_seq", F.col("char_start").cast("bigint").alias("chunk_start"), F.col("char_end").cast("bigint").alias("chunk_end")), "chunk_id")
+        # At most twice `MOST_CANDIDATES` rows of numbers: small enough to go to the chunks, and with them to the documents.
+        own = self.chunks.select("chunk_id", "source_pk", "chunk_seq", F.col("char_start").cast("bigint").alias("chunk_start"), F.col("char_end").cast("bigint").alias("chunk_end"))
+        placed = source.join(F.broadcast(own.join(F.broadcast(fused), "chunk_id")), "source_pk")
         last = F.lit((1 << 63) - 1)
         best = Window.partitionBy("pk_value").orderBy(F.col("rrf_score").desc(), F.coalesce("semantic_rank", last), F.coalesce("fts_rank", last), "chunk_seq", "chunk_id")
         final = [F.col("rrf_score").desc_nulls_last(), F.col("pk_value")]
