@@ -24,12 +24,12 @@ SQL["budget_running_sum"] = "SELECT doc_id, size FROM (SELECT doc_id, strlen(tex
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").where("doc_id < 500").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.octet_length("text")).cast("bigint").alias("size"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.octet_length("text")).cast("bigint").alias("size"))
     return C.admitted(docs, ["doc_id"], "size", C.Limits(batch_bytes=200_000, document_bytes=9_000))
 
 
 SQL["admission"] = """
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 != 0 THEN strlen(text)::BIGINT END AS size FROM documents WHERE doc_id < 500),
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 != 0 THEN strlen(text)::BIGINT END AS size FROM documents),
 r AS (SELECT *, sum(CASE WHEN size <= 9000 THEN size ELSE 0 END) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM d)
 SELECT doc_id, size, CASE WHEN size IS NULL THEN 'null' WHEN size > 9000 THEN 'too_large' WHEN s <= 200000 THEN 'admitted' ELSE 'deferred' END AS verdict FROM r"""
 
@@ -110,14 +110,14 @@ SQL["distinct_on_latest"] = "SELECT DISTINCT ON (user_id, event_type) user_id, e
 
 
 def retry_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dead = _queue(spark, sf_dir).where("id < 3000").withColumn("dead_id", F.col("id"))
-    jobs, _ = C.retried(dead, _queue(spark, sf_dir).where("id >= 3000 and id % 3 = 0"), None, _now(spark, sf_dir))
+    dead = _queue(spark, sf_dir).where("id % 3 != 0").withColumn("dead_id", F.col("id"))
+    jobs, _ = C.retried(dead, _queue(spark, sf_dir).where("id % 3 = 0"), None, _now(spark, sf_dir))
     return jobs.select("registry_id", "op", "pk_value", "dead_id", "attempts")
 
 
 SQL["retry_dead"] = f"""
-WITH {_QUEUE_SQL}, d AS (SELECT DISTINCT ON (registry_id, op, pk_value) * FROM q WHERE id < 3000 ORDER BY registry_id, op, pk_value, id DESC)
-SELECT registry_id, op, pk_value, id AS dead_id, 0 AS attempts FROM d WHERE NOT EXISTS (SELECT 1 FROM q p WHERE p.id >= 3000 AND p.id % 3 = 0 AND p.registry_id = d.registry_id AND p.op = d.op AND p.pk_value = d.pk_value)"""
+WITH {_QUEUE_SQL}, d AS (SELECT DISTINCT ON (registry_id, op, pk_value) * FROM q WHERE id % 3 != 0 ORDER BY registry_id, op, pk_value, id DESC)
+SELECT registry_id, op, pk_value, id AS dead_id, 0 AS attempts FROM d WHERE NOT EXISTS (SELECT 1 FROM q p WHERE p.id % 3 = 0 AND p.registry_id = d.registry_id AND p.op = d.op AND p.pk_value = d.pk_value)"""
 
 
 def backfill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,12 +173,12 @@ SQL["allocate_ids"] = "SELECT n_name, 1000 + row_number() OVER (ORDER BY n_name)
 
 
 def child_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _read(spark, sf_dir, "documents").where("doc_id < 100").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 20).alias("source_pk"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("chunk_text"))
-    jobs = _read(spark, sf_dir, "documents").where("doc_id < 150").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("chunk_id"), F.when(F.col("doc_id") % 4 == 0, "3").otherwise((F.col("doc_id") % 20).cast("string")).alias("pk_value"))
+    chunks = _read(spark, sf_dir, "documents").where("doc_id % 3 != 0").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 20).alias("source_pk"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("chunk_text"))
+    jobs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("chunk_id"), F.when(F.col("doc_id") % 4 == 0, "3").otherwise((F.col("doc_id") % 20).cast("string")).alias("pk_value"))
     return C.child_verdicts(jobs, chunks).select("id", "verdict")
 
 
-SQL["child_matrix"] = "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'dead' WHEN doc_id >= 100 THEN 'obsolete' WHEN doc_id % 4 = 0 AND doc_id % 20 != 3 THEN 'dead' WHEN doc_id % 9 = 0 THEN 'empty' ELSE 'live' END AS verdict FROM documents WHERE doc_id < 150"
+SQL["child_matrix"] = "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'dead' WHEN doc_id % 3 = 0 THEN 'obsolete' WHEN doc_id % 4 = 0 AND doc_id % 20 != 3 THEN 'dead' WHEN doc_id % 9 = 0 THEN 'empty' ELSE 'live' END AS verdict FROM documents"
 
 
 def rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,11 +224,11 @@ SQL["composite_key"] = """SELECT conv_id, turn, '(' || conv_id || ',' || turn ||
 
 
 def composite_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k")).orderBy("k").limit(50)
+    o = _read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k")).orderBy("k")
     return o
 
 
-SQL["composite_order"] = "SELECT l_orderkey || '-' || l_linenumber AS k FROM lineitem ORDER BY k LIMIT 50"
+SQL["composite_order"] = "SELECT l_orderkey || '-' || l_linenumber AS k FROM lineitem ORDER BY k"
 
 
 _MODELS = [("local-a", "embed", None, "s1", None, 64, 512, "{}"), ("api-b", "embed", None, "s1", None, 64, 8192, '{"extra":{"provider":"openai"}}'), ("api-c", "embed", None, "s1", None, 64, 8192, '{"extra":{"provider":"cohere","priority":50,"priority_explicit":true}}'), ("api-d", "embed", None, "s2", None, 32, None, '{"extra":{"provider":"x","priority":"7"}}'), ("api-e", "embed", None, "s2", None, 32, None, '{"extra":{"provider":"x","priority":70000}}'), ("solo", "embed", None, None, None, 8, None, "{}"), ("c-1", "convert", "s1", "s3", 64, 16, None, "{}"), ("c-0", "convert", "s9", "s3", 64, 16, None, "{}"), ("c-2", "convert", "s1", "s2", 64, 32, None, '{"extra":{"provider":"x"}}'), ("c-3", "convert", "s1", "s2", 64, 32, None, "{}")]
