@@ -41,6 +41,15 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["keyset_page"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 256"
 
 
+def composite_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a row in the middle of an order: rows that share its first key column come next."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return C.keyset_page(rows, ["l_orderkey", "l_linenumber"], [100, 2], 300)
+
+
+SQL["composite_paging"] = "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber LIMIT 300"
+
+
 def staging_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.staged(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", ["9", 3, "x", 77, 5])
 
@@ -110,14 +119,15 @@ SQL["distinct_on_latest"] = "SELECT DISTINCT ON (user_id, event_type) user_id, e
 
 
 def retry_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dead = _queue(spark, sf_dir).where("id % 3 != 0").withColumn("dead_id", F.col("id"))
-    jobs, _ = C.retried(dead, _queue(spark, sf_dir).where("id % 3 = 0"), None, _now(spark, sf_dir))
+    waits = "id % 3 = 0 and cast(pk_value as bigint) % 2 = 0"
+    dead = _queue(spark, sf_dir).where(f"not ({waits})").withColumn("dead_id", F.col("id"))
+    jobs, _ = C.retried(dead, _queue(spark, sf_dir).where(waits), None, _now(spark, sf_dir))
     return jobs.select("registry_id", "op", "pk_value", "dead_id", "attempts")
 
 
 SQL["retry_dead"] = f"""
-WITH {_QUEUE_SQL}, d AS (SELECT DISTINCT ON (registry_id, op, pk_value) * FROM q WHERE id % 3 != 0 ORDER BY registry_id, op, pk_value, id DESC)
-SELECT registry_id, op, pk_value, id AS dead_id, 0 AS attempts FROM d WHERE NOT EXISTS (SELECT 1 FROM q p WHERE p.id % 3 = 0 AND p.registry_id = d.registry_id AND p.op = d.op AND p.pk_value = d.pk_value)"""
+WITH {_QUEUE_SQL}, d AS (SELECT DISTINCT ON (registry_id, op, pk_value) * FROM q WHERE NOT (id % 3 = 0 AND pk_value::BIGINT % 2 = 0) ORDER BY registry_id, op, pk_value, id DESC)
+SELECT registry_id, op, pk_value, id AS dead_id, 0 AS attempts FROM d WHERE NOT EXISTS (SELECT 1 FROM q p WHERE p.id % 3 = 0 AND p.pk_value::BIGINT % 2 = 0 AND p.registry_id = d.registry_id AND p.op = d.op AND p.pk_value = d.pk_value)"""
 
 
 def backfill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,5 +372,5 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["embed_text"] = "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN c_custkey % 4 != 0 THEN strlen(c_name || ': ' || c_mktsegment)::DOUBLE END AS x FROM customer"
 
-for _f in [budget_running_sum, admission, keyset_page, staging_scan, coalesce_jobs, claim_batch, visibility_timeout, dead_letter_split, distinct_on_latest, retry_dead, backfill_gap, exists_semi, cdc_diff, write_back, fresh_beats_converted, allocate_ids, child_matrix, rechunk, uncastable_keys, embed_mock, convert_mock, composite_key, composite_order, routes_preferred, route_resolve, bridge_resolve, convert_resolve, effective_priorities, model_upsert, status_rollup, migration_progress, ordered_aggregates, null_order, bounded_count, lateral_top, partition_tree, embed_text]:
+for _f in [budget_running_sum, admission, keyset_page, composite_paging, staging_scan, coalesce_jobs, claim_batch, visibility_timeout, dead_letter_split, distinct_on_latest, retry_dead, backfill_gap, exists_semi, cdc_diff, write_back, fresh_beats_converted, allocate_ids, child_matrix, rechunk, uncastable_keys, embed_mock, convert_mock, composite_key, composite_order, routes_preferred, route_resolve, bridge_resolve, convert_resolve, effective_priorities, model_upsert, status_rollup, migration_progress, ordered_aggregates, null_order, bounded_count, lateral_top, partition_tree, embed_text]:
     QUERIES[_f.__name__] = _f

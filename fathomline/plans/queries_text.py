@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fathomline.functions import chunking, templates
 from fathomline.functions import text as X
 from fathomline.operators import filters, lexical
-from fathomline.operators.search import HybridIndex, Spec
+from fathomline.operators.lineage import shared_folder
+from fathomline.operators.search import HybridIndex, Spec, key_text
 from fathomline.plans.queries_vectors import _read
 
 QUERIES, SQL = {}, {}
@@ -43,14 +44,14 @@ SQL["lex_stats"] = f"SELECT count(*) AS n, round(avg(len({_TOKENS})), 6) AS avgd
 
 
 def lex_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lexical.postings(_read(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("term").isin("eriner", "idiot", "aulich"))
-    return p.select("term", F.col("key").alias("doc_id"), "tf", F.element_at("positions", 1).cast("bigint").alias("at"))
+    p = lexical.postings(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return p.select("term", F.col("key").alias("doc_id"), "tf", F.element_at("positions", 1).cast("bigint").alias("at"), F.element_at("positions", -1).cast("bigint").alias("last"))
 
 
 QUERIES["lex_postings"] = lex_postings
 SQL["lex_postings"] = f"""
-WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), w(term) AS (VALUES ('eriner'), ('idiot'), ('aulich'))
-SELECT term, doc_id, len(list_filter(t, lambda x: x = term))::BIGINT AS tf, list_position(t, term)::BIGINT AS at FROM t, w WHERE list_contains(t, term)"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS i FROM t)
+SELECT term, doc_id, count(*) AS tf, min(i) AS at, max(i) AS last FROM p GROUP BY term, doc_id"""
 
 _WORDS = {"bm25_single": ("eriner", ["eriner"], "list_contains(t, 'eriner')"), "bm25_and": ("attion thanedble the", ["attion", "thanedble", "the"], "list_contains(t, 'attion') AND list_contains(t, 'thanedble') AND list_contains(t, 'the')"), "bm25_or": ("aulich or idiot OR eriner", ["aulich", "eriner", "idiot"], "list_contains(t, 'aulich') OR list_contains(t, 'idiot') OR list_contains(t, 'eriner')"), "bm25_not": ("licensed -apache", ["licensed"], "list_contains(t, 'licensed') AND NOT list_contains(t, 'apache')"), "phrase_match": ('"nicht aulich für"', ["aulich", "für", "nicht"], "list_contains(list_transform(range(1, len(t) - 1), lambda i: t[i:i + 2]), ['nicht', 'aulich', 'für'])")}
 
@@ -83,6 +84,16 @@ for _name, (_q, _terms, _match) in _WORDS.items():
 _bm25("bm25_filtered", "eriner the", ["eriner", "the"], "list_contains(t, 'eriner') AND list_contains(t, 'the')", {"lang": "en", "source": {"in": ["src1", "src2", "src3"]}}, "AND lang = 'en' AND source IN ('src1', 'src2', 'src3')")
 
 
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as bm25_or from postings that are written first."""
+    index = lexical.Index.build(_read(spark, sf_dir, "documents"), "doc_id", "text", shared_folder(spark, "bm25_index"))
+    return index.scored(_WORDS["bm25_or"][0]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+QUERIES["bm25_index"] = bm25_index
+SQL["bm25_index"] = SQL["bm25_or"]
+
+
 def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return lexical.scored(docs, "text", "eriner", None).select("doc_id", F.round("score", 6).alias("score"))
@@ -93,7 +104,7 @@ SQL["cover_density"] = f"SELECT doc_id, round(0.1::DOUBLE * len(list_filter(t, l
 
 
 def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.statistics(_read(spark, sf_dir, "documents").where("lang = 'en'"), "text", "english").frequencies
+    return lexical.statistics(_read(spark, sf_dir, "documents"), "text", "english").frequencies
 
 
 QUERIES["lex_english"] = _english
@@ -221,8 +232,6 @@ SQL |= {
 # Filters: name, table, key, filter, SQL condition.
 _FILTERS = [
     ("filter_eq", "orders", "o_orderkey", {"o_orderstatus": "F", "o_custkey": 7}, "o_orderstatus = 'F' AND o_custkey = 7"),
-    ("filter_null", "events", "event_id", {"props": None}, "props IS NULL"),
-    ("filter_not_null", "events", "event_id", {"props": {"is_not": None}, "user_id": {"lt": 20}}, "props IS NOT NULL AND user_id < 20"),
     ("filter_neq_range", "orders", "o_orderkey", {"o_totalprice": {"gte": 1000.5, "lt": 60000, "neq": 5000}, "o_orderkey": {"gt": 10, "lte": 9000}}, "o_totalprice >= 1000.5 AND o_totalprice < 60000 AND o_totalprice != 5000 AND o_orderkey > 10 AND o_orderkey <= 9000"),
     ("filter_in", "customer", "c_custkey", {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": {"in": [1, 2, 3, 24]}}, "c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 2, 3, 24)"),
     ("filter_like", "orders", "o_orderkey", {"o_orderpriority": {"like": "%-%"}}, "o_orderpriority LIKE '%-%'"),
@@ -239,3 +248,39 @@ def _filter(name: str, table: str, key: str, spec: dict, where: str) -> None:
 
 for _f in _FILTERS:
     _filter(*_f)
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with a note on six of seven and a flag."""
+    return _read(spark, sf_dir, "events").withColumns({"note": F.when(F.col("event_id") % 7 != 0, F.col("event_type")), "late": F.col("event_id") % 5 > 2})
+
+
+def _noted_filter(name: str, spec: dict, where: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: filters.filtered(_noted(spark, sf_dir), spec).select("event_id")
+    SQL[name] = f"SELECT event_id FROM events WHERE {where}"
+
+
+_noted_filter("filter_null", {"note": None}, "event_id % 7 = 0")
+_noted_filter("filter_not_null", {"note": {"is_not": None}, "user_id": {"gt": 20}}, "event_id % 7 != 0 AND user_id > 20")
+_noted_filter("filter_bool", {"late": True, "note": {"neq": "click"}}, "event_id % 5 > 2 AND event_id % 7 != 0 AND event_type != 'click'")
+
+
+def composite_chunked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns nearest to a vector, turns being documents with a key of two columns and one chunk each."""
+    e = _read(spark, sf_dir, "embeddings")
+    n = e.count()
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    chunks = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), key_text("conv_id", "turn").alias("source_pk"), F.lit(0).alias("chunk_seq"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.col("text").alias("chunk_text"), ((F.col("conv_id") * 31 + F.col("turn")) % n).alias("__v"))
+    chunks = chunks.join(e.select(F.col("vec_id").alias("__v"), "embedding"), "__v").drop("__v")
+    vector = list(e.where("vec_id = 3").first().embedding)
+    out = HybridIndex(turns, ["conv_id", "turn"], "text", "embedding", 64, chunks=chunks).search_with_vector(vector, "", 15)
+    return out.select("pk_value", F.round("rrf_score", 8).alias("rrf_score"), "semantic_rank", F.length("chunk_text").cast("bigint").alias("chars"))
+
+
+QUERIES["composite_chunked_search"] = composite_chunked_search
+SQL["composite_chunked_search"] = """
+WITH n AS (SELECT count(*) AS n FROM embeddings),
+c AS (SELECT conv_id * 1000 + turn AS cid, '(' || conv_id || ',' || turn || ')' AS pk, text, list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dist
+      FROM conversations, n JOIN embeddings e ON e.vec_id = (conv_id * 31 + turn) % n.n, embeddings q WHERE q.vec_id = 3),
+r AS (SELECT *, row_number() OVER (ORDER BY dist, cid::VARCHAR) AS rs FROM c)
+SELECT pk AS pk_value, round(0.5 / (60 + rs), 8) AS rrf_score, rs AS semantic_rank, length(text)::BIGINT AS chars FROM r WHERE rs <= 15"""

@@ -211,11 +211,14 @@ SQL["vec_text_round_trip"] = "SELECT vec_id, true AS text_equal, true AS bytes_e
 
 def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user and type as (key, value) lists: sorted, scaled to 1 and cut."""
-    e = _read(spark, sf_dir, "events").where("user_id < 50").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
+    e = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
     lists = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("key"), F.col("n").alias("value")))).alias("p"))
-    best = lists.select("user_id", F.explode(V.pairs_cut(V.pairs_to_unit(V.pairs_sorted("p")), 1)).alias("s"))
-    return best.select("user_id", F.round("s.value", 6).alias("value"))
+    best = lists.select("user_id", F.posexplode(V.pairs_cut(V.pairs_to_unit(V.pairs_sorted("p")), 2)).alias("place", "s"))
+    return best.select("user_id", F.col("place").cast("bigint").alias("place"), F.round("s.value", 6).alias("value"))
 
 
 QUERIES["vec_pairs"] = vec_pairs
-SQL["vec_pairs"] = "SELECT DISTINCT user_id, 1.0::DOUBLE AS value FROM events WHERE user_id < 50"
+SQL["vec_pairs"] = """
+WITH c AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+r AS (SELECT user_id, n / max(n) OVER (PARTITION BY user_id) AS value, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) - 1 AS place FROM c)
+SELECT user_id, place, round(value, 6) AS value FROM r WHERE place < 2"""

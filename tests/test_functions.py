@@ -74,36 +74,37 @@ def test_cover_density(spark):
     assert one(spark, X.cover_density(tok, ["a", "z"])) == 0
 
 
-GOLDEN = [
-    ("aaa bbb ccc ddd", 10, 0, [(0, 8, "aaa bbb "), (8, 15, "ccc ddd")]),
-    ("aaa bbb ccc ddd", 10, 3, [(0, 8, "aaa bbb "), (5, 15, "bb ccc ddd")]),
-    ("Hi. There? Ok", 12, 0, [(0, 4, "Hi. "), (4, 13, "There? Ok")]),
-    ("A\r\n\r\nB", 4, 0, [(0, 3, "A\r\n"), (3, 6, "\r\nB")]),
-    ("", 64, 0, []),
-    ("   \n\n\t  \r\n ", 64, 8, []),
-    (" 　 ", 64, 8, []),
-    ("a" * 64, 64, 8, [(0, 64, "a" * 64)]),
+BY_HAND = [
+    ("eel cod ray", 8, 0, [(0, 8, "eel cod "), (8, 11, "ray")]),
+    ("eel cod ray", 9, 2, [(0, 8, "eel cod "), (6, 11, "d ray")]),
+    ("No. Yes! Me", 9, 0, [(0, 4, "No. "), (4, 11, "Yes! Me")]),
+    ("up\r\n\r\ndown", 6, 0, [(0, 6, "up\r\n\r\n"), (6, 10, "down")]),
+    ("", 70, 0, []),
+    ("\t \n\n", 70, 5, []),
+    ("\u2003\u3000", 70, 5, []),
+    ("k" * 70, 70, 5, [(0, 70, "k" * 70)]),
 ]
 
 
-@pytest.mark.parametrize("text,size,overlap,want", GOLDEN)
-def test_split_golden(text, size, overlap, want):
+@pytest.mark.parametrize("text,size,overlap,want", BY_HAND)
+def test_split_by_hand(text, size, overlap, want):
     assert [c[1:] for c in C.split(text, size, overlap)] == want
 
 
 def test_split_bounds():
-    crabs = C.split("🦀" * 10, 4, 0)
-    assert [c[1:3] for c in crabs] == [(0, 4), (4, 8), (8, 10)]
-    y = C.split("y" * 100, 30, 10)
-    assert all(a[2] - b[1] == 10 for a, b in zip(y, y[1:])) and y[-1][2] == 100
-    z = C.split("z" * 200, 64, 48)
-    assert {b[1] - a[1] for a, b in zip(z, z[1:])} == {16}
-    paragraphs = lambda n: ("p" * 40 + "\n\n") * n
-    assert len(C.split(paragraphs(10_000), 64, 0)) == 10_000
-    for text, size, overlap in (("z" * 200, 64, 63), ("z" * 1000, 100, 90), (paragraphs(10_001), 64, 0), ("x", 0, 0), ("x", 5, 5), ("é" * (17 << 20), 100, 0)):
+    whales = C.split("🐳" * 9, 4, 0)
+    assert [c[1:3] for c in whales] == [(0, 4), (4, 8), (8, 9)]
+    w = C.split("w" * 95, 25, 5)
+    assert all(a[2] - b[1] == 5 for a, b in zip(w, w[1:])) and w[-1][2] == 95
+    v = C.split("v" * 300, 80, 60)
+    assert {b[1] - a[1] for a, b in zip(v, v[1:])} == {20}
+    # 10 000 chunks, 32 MiB and four times the text are the bounds.
+    sections = lambda n: ("s" * 50 + "\n\n") * n
+    assert len(C.split(sections(10_000), 70, 0)) == 10_000
+    for text, size, overlap in (("v" * 300, 80, 78), ("v" * 2000, 200, 180), (sections(10_001), 70, 0), ("v", 0, 0), ("v", 6, 6), ("ü" * (17 << 20), 90, 0)):
         with pytest.raises(C.SplitError):
             C.split(text, size, overlap)
-    assert C.split("z" * 1000, 100, 75)
+    assert C.split("v" * 2000, 200, 150)
     with pytest.raises(C.SplitError):
         C.check_geometry(63, 0)
     assert C.check_geometry(64, 60) and not C.check_geometry(2000, 200)
