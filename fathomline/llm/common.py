@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators import lineage
+
 #: Text bytes that one vectorised pass works on; a longer single text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -35,32 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; only where none is named (tests) make one."""
-    bounded_batches(spark)
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathomline-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and go on from there."""
+    bounded_batches(df.sparkSession)
+    return lineage.cut(df)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there, so that lost executors cost nothing before it.
-
-    First the shuffles below earlier cuts, which nothing reaches any more, are given back rather than at some later
-    collection."""
-    shared_dir(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see what is unreachable on the driver: it drops shuffles only after a collection there, and a
-    plan that Python let go of takes two."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+class Renamed:
+    """A frame whose columns are numbered, so that no operator's own names can clash with them; back() restores them."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"__c{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        return f"__c{self.names.index(name)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.toDF(*self.names)
 
 
 def crc32_mod(column: str, m: int) -> Column:

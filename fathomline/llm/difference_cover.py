@@ -19,7 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.kernels import byte_prefix, cover, prefix, ranges, runs, signed, words
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, unpacked
+from fathomline.llm.kernels import byte_prefix, cover, prefix, ranges, runs, words
 from fathomline.llm.repeats import Kernel, removals
 
 WINDOW = 50
@@ -37,13 +38,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 
 class Passages(Kernel):
-    within, named = False, False
+    within = False
 
     def __init__(self, window: int = WINDOW, period: int = PERIOD, members: tuple[int, ...] = COVER):
         if not is_cover(members, period) or window < period:
             raise ValueError("not a difference cover, or a period longer than the window")
         self.window, self.period, self.members = window, period, members
         self.anchor = window - period + 1
+        self.density = len(members) / period
 
     def whole(self, raw: bytes) -> tuple[int, str]:
         w = raw.split()
@@ -68,27 +70,64 @@ class Passages(Kernel):
         s = np.flatnonzero(flags)
         return s, *(ranges(prefix(word_hashes(raw, starts, ends, a), b), s, s + self.window, b) for a, b in ((21, 22), (23, 24)))
 
-    def earlier(self, found: DataFrame) -> DataFrame:
+    def earlier(self, found: DataFrame, groups: int) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+            waiting = 0
             for b in batches:
-                for i in range(b.num_rows):
-                    raw = np.frombuffer(zstandard.decompress(b.column("z")[i].as_py()), np.uint8)
-                    s, x, y = self.windows(raw, b.column("at")[i].values.to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(x)), pa.array(signed(y)), pa.array(np.full(len(s), b.column("id")[i].as_py())), pa.array(np.full(len(s), b.column("c")[i].as_py())), pa.array(s.astype(np.int64))], names=["x", "y", "id", "c", "s"])
-
-        windows = found.select("id", "c", "z", "at").mapInArrow(each, "x bigint, y bigint, id bigint, c bigint, s bigint")
-        least = windows.groupBy("x", "y").agg(F.min("id").alias("least"))
-        return windows.join(least, ["x", "y"]).where("least < id").select("id", "c", "s", F.lit(1).cast("long").alias("n"))
-
-    def removed(self, raw: bytes, flagged: list[tuple[int, int]]) -> tuple[list[int], str]:
+                for z, marks, i, u in zip(b.column("z"), b.column("s"), b.column("id").to_pylist(), b.column("u").to_pylist(), strict=True):
+                    s, x, y = self.windows(np.frombuffer(zstandard.decompress(z.as_py()), np.uint8), marks.values.to_numpy())
+                    held.append([x, y, np.full(len(s), i), np.full(len(s), u), s])
+                    waiting += len(s)
+                    if waiting >= CHUNK:
+                        yield from out(held)
+                        held, waiting = [], 0
+            if held:
+                yield from out(held)
+
+        def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            x, y, i, u, s, later = not_first(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield runs_of(u[later], s[later], groups)
+            yield dealt(x[~later], groups, [c[~later] for c in (x, y, i, u, s)])
+
+        def meet(table: pa.Table) -> pa.Table:
+            if table.column("b")[0].as_py() >= groups:  # settled before, on the way to their texts
+                return table
+            x, y, i, u, s = unpacked(table.column("z"), 5)
+            _, _, _, u, s, later = not_first(x.view(np.uint64), y.view(np.uint64), i, u, s)
+            return pa.Table.from_batches([runs_of(u[later], s[later], groups)])
+
+        return found.select("u", "id", "z", "s").mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS)
+
+    def removed(self, raw: bytes, s: np.ndarray, n: np.ndarray) -> tuple[list[int], str]:
         w = raw.split()
-        a = np.array(flagged, np.int64)
-        gone = cover(len(w), a[:, 0], a[:, 0] + a[:, 1] - 1 + self.window)
+        gone = cover(len(w), s, s + n - 1 + self.window)
         first, last = runs(gone)
         kept = b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)
         return np.column_stack([first, last]).ravel().tolist(), hashlib.sha256(kept).hexdigest()
 
 
+def not_first(x: np.ndarray, y: np.ndarray, i: np.ndarray, u: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows (hashes x and y, document id i, text u, start s) in order of x, y, i, and which of them start in a
+    document with a smaller id too."""
+    order = by_first([x, y, i])
+    x, y, i, u, s = (c[order] for c in (x, y, i, u, s))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    least = i[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return x, y, i, u, s, i > least
+
+
+def runs_of(u: np.ndarray, s: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Windows (u, s) as blobs of runs (u, s, n)."""
+    order = np.lexsort((s, u))
+    u, s = u[order], s[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (s[1:] != s[:-1] + 1)
+    first = np.flatnonzero(new)
+    return dealt_by(u[first], groups, [s[first], np.diff(np.append(first, len(u)))], groups)
+
+
 def repeated_passages(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
     """key, raw, n (words), n_removed, n_spans, kept_sha256 and spans (in words) of each row.
 

@@ -99,10 +99,6 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))

@@ -12,8 +12,9 @@ each task sorts the suffixes of its pieces:
   depth, byte) at each node is the trie's in-order walk.
 
 Suffixes that agree to W bytes form a class; all but its first in (document, start) order are repeats. Pieces of the same
-bytes are aggregated before the shuffle, so a passage copied into a third of all documents arrives once; should one gram
-still own more than `HOT` different pieces, they go on as single windows dealt by their own hash.
+bytes are settled before (all but the first are repeats whole), so a passage copied into a third of all documents is sorted
+once; should one gram still own more than `HOT` different pieces, they go on as single windows dealt by their own hash,
+with the same result (tested with `hot=2`).
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import cut
-from fathomline.llm.kernels import cover, gram_hashes, runs, sliding_min
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, lists_of, spans, unpacked
+from fathomline.llm.kernels import byte_prefix, cover, gram_hashes, mix, ranges, runs, sliding_min
 from fathomline.llm.repeats import Kernel, removals
 
 WINDOW = 100
 GRAM = 32
 SHALLOW = 24
-HOT = 20_000
+HOT = 5_000
 #: Bytes of a long text that are marked at a time, and suffixes that a task sorts at a time (more if one gram has more).
 SEGMENT = 4 << 20
 SUFFIXES = 150_000
@@ -101,7 +103,8 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, depth: int = WINDOW, shallow:
 
 
 class Strings(Kernel):
-    within, named = True, True
+    within = True
+    density = 1 / 32
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM, hot: int = HOT):
         if not SHALLOW < window <= 127 or gram >= window:
@@ -142,50 +145,82 @@ class Strings(Kernel):
         doc = np.searchsorted(at, first, "right") - 1
         return doc, h[chosen[first].astype(np.int64)], (first - at[doc]) * 128 + last - first + 1
 
-    def earlier(self, found: DataFrame) -> DataFrame:
+    def earlier(self, found: DataFrame, groups: int) -> DataFrame:
         width = self.window
 
-        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+            waiting = 0
             for b in batches:
-                for i in range(b.num_rows):
-                    raw, at = zstandard.decompress(b.column("z")[i].as_py()), b.column("at")[i].values
-                    s = at.field("s").to_numpy()
-                    ph = [xxhash.xxh3_64_intdigest(raw[x : x + k]) for x, k in zip((s >> 7).tolist(), ((s & 127) + width - 1).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([at.field("h"), pa.array(np.array(ph, np.uint64).view(np.int64)), pa.array(np.full(len(s), b.column("id")[i].as_py())), pa.array(np.full(len(s), b.column("c")[i].as_py())), pa.array(s)], names=["h", "ph", "id", "c", "s"])
+                for z, h, s, i, u in zip(b.column("z"), b.column("h"), b.column("s"), b.column("id").to_pylist(), b.column("u").to_pylist(), strict=True):
+                    h, s = h.values.to_numpy().view(np.uint64), s.values.to_numpy()
+                    p = byte_prefix(np.frombuffer(zstandard.decompress(z.as_py()), np.uint8), 31)
+                    ph = ranges(p, s >> 7, (s >> 7) + (s & 127) + width - 1, 31)
+                    held.append([h, ph, np.full(len(s), i), s, np.full(len(s), u)])
+                    waiting += len(s)
+                    if waiting >= CHUNK:
+                        yield from out(held)
+                        held, waiting = [], 0
+            if held:
+                yield from out(held)
+
+        def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            h, ph, i, s, u, copy = copies(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield dealt_by(u[copy], groups, [s[copy] >> 7, s[copy] & 127], groups)
+            h, ph, i, s, u = (c[~copy] for c in (h, ph, i, s, u))
+            run, first = spans(h)
+            many = np.diff(np.append(first, len(h))) > 1
+            known = many[run]  # other pieces of the gram are here: each goes its own way, and one record tells of the gram
+            told = h[first[many]]
+            none = np.full(len(told), -1)
+            by = np.concatenate([np.where(known, mix(h ^ ph * np.uint64(0x9E3779B97F4A7C15)), h), told])
+            yield dealt(by, groups, [np.concatenate([h, told]), np.concatenate([ph, told]), *(np.concatenate([c, none]) for c in (i, s, u)), np.concatenate([known.astype(np.int64), none])])
+
+        def meet(table: pa.Table) -> pa.Table:
+            """Copies of pieces as runs; what else shares its gram with another piece is wanted: (u, code, gram)."""
+            if table.column("b")[0].as_py() >= groups:  # settled before, on the way to their texts
+                return table
+            h, ph, i, s, u, known = unpacked(table.column("z"), 6)
+            told = np.unique(h[known < 0])
+            h, ph, i, s, u, copy, known = copies(*(c[known >= 0] for c in (h, ph, i, s, u)), known[known >= 0])
+            gone = dealt_by(u[copy], groups, [s[copy] >> 7, s[copy] & 127], groups)
+            h, s, u, known = (c[~copy] for c in (h, s, u, known))
+            run, first = spans(h)
+            meets = (np.diff(np.append(first, len(h))) > 1)[run] | (known > 0) | np.isin(h.view(np.int64), told)
+            return pa.Table.from_batches([gone, dealt_by(u[meets], groups, [s[meets], h[meets].view(np.int64)])])
 
         def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(b.num_rows):
-                    raw, at = zstandard.decompress(b.column("z")[i].as_py()), b.column("wanted")[i].values
-                    s = at.field("s").to_numpy()
-                    start, n = s >> 7, s & 127
-                    yield pa.RecordBatch.from_arrays([at.field("h"), pa.array([raw[x : x + k + width - 1] for x, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary()), pa.array(np.full(len(s), b.column("id")[i].as_py())), pa.array(np.full(len(s), b.column("c")[i].as_py())), pa.array(start), pa.array(n), at.field("m")], names=["h", "piece", "id", "c", "s", "n", "m"])
-
-        # Pieces of one gram and one hash (128 bits together) are the same bytes: all but the first are repeats as a whole.
-        places = found.select("id", "c", "z", "at").mapInArrow(placed, "h bigint, ph bigint, id bigint, c bigint, s bigint")
-        firsts = cut(places.groupBy("h", "ph").agg(F.min(F.struct("id", "s", "c")).alias("first"), F.count("*").alias("k")).select("h", "ph", "first.*", "k"))
-        copied = firsts.where("k > 1").select("h", "ph", F.struct("id", "s", "c").alias("first"))
-        again = places.join(copied, ["h", "ph"]).where(F.struct("id", "s", "c") != F.col("first")).select("id", "c", F.shiftright("s", 7).alias("s"), F.col("s").bitwiseAND(127).alias("n"))
-        meeting = firsts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-        wanted = firsts.join(meeting, "h").groupBy("id", "c").agg(F.collect_list(F.struct("h", "s", "m")).alias("wanted"))
-        sorted_out = found.select("id", "c", "z").join(wanted, ["id", "c"]).select("id", "c", "z", "wanted").mapInArrow(cut_out, "h bigint, piece binary, id bigint, c bigint, s bigint, n bigint, m bigint")
-
-        most = self.hot
+                for k in range(b.num_rows):
+                    raw = zstandard.decompress(b.column("z")[k].as_py())
+                    s, n = b.column("s")[k].values.to_numpy(), len(b.column("s")[k].values)
+                    for lo in range(0, n, 100_000):
+                        own = s[lo : lo + 100_000]
+                        start, size = own >> 7, own & 127
+                        cutout = [raw[x : x + m + width - 1] for x, m in zip(start.tolist(), size.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([b.column("h")[k].values.slice(lo, len(own)), pa.array(cutout, pa.binary()), *(pa.array(np.full(len(own), b.column(c)[k].as_py())) for c in ("id", "u")), pa.array(start), pa.array(size)], names=["h", "piece", "id", "u", "s", "n"])
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hot = b.column("m").to_numpy() > most
-                yield b.drop_columns(["m"]).filter(pa.array(~hot))
-                for r in b.filter(pa.array(hot)).to_pylist() if hot.any() else []:
+                hot = b.column("hot")
+                yield b.drop_columns(["hot"]).filter(pc.invert(hot))
+                for r in b.filter(hot).to_pylist():
                     k = np.arange(r["n"])
                     windows = [r["piece"][j : j + width] for j in k]
-                    yield pa.RecordBatch.from_arrays([pa.array([hash_long(w) for w in windows], pa.int64()), pa.array(windows, pa.binary()), pa.array(np.full(len(k), r["id"])), pa.array(np.full(len(k), r["c"])), pa.array(k + r["s"]), pa.array(np.ones(len(k), np.int64))], names=["h", "piece", "id", "c", "s", "n"])
-
-        schema = "h bigint, piece binary, id bigint, c bigint, s bigint, n bigint"
-        dealt = sorted_out.mapInArrow(single, schema).repartition("h").sortWithinPartitions("h")
-        return cut(dealt.mapInArrow(self._sort, "id bigint, c bigint, s bigint, n bigint").unionByName(again.select("id", "c", "s", "n")))
-
-    def _sort(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    yield pa.RecordBatch.from_arrays([pa.array([hash_long(w) for w in windows], pa.int64()), pa.array(windows, pa.binary()), pa.array(np.full(len(k), r["id"])), pa.array(np.full(len(k), r["u"])), pa.array(k + r["s"]), pa.array(np.ones(len(k), np.int64))], names=["h", "piece", "id", "u", "s", "n"])
+
+        met = cut(found.select("u", "id", "z", "s", "h").mapInArrow(pieces, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS))
+        wanted = met.where(F.col("b") < groups).groupBy("b").applyInArrow(lists_of("u", ["s", "h"]), "u bigint, s array<bigint>, h array<bigint>")
+        schema = "h bigint, piece binary, id bigint, u bigint, s bigint, n bigint"
+        apart = cut(found.select("id", "u", "z").join(wanted, "u").select("id", "u", "z", "s", "h"))
+        hot = cut(apart.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > self.hot).select("h"))
+        sorted_out = apart.mapInArrow(cut_out, schema)
+        if not hot.isEmpty():
+            sorted_out = sorted_out.join(hot.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).mapInArrow(single, schema)
+        own = sorted_out.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: self._sort(batches, groups), BLOB_COLUMNS)
+        return met.where(F.col("b") >= groups).unionByName(own)
+
+    def _sort(self, batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         waiting = 0
         for b in batches:
@@ -197,29 +232,29 @@ class Strings(Kernel):
             h = rows.column("h").to_numpy()
             ends = int(np.searchsorted(h, h[-1]))  # the last gram may go on in the next batch
             held, waiting = rows.slice(ends).to_batches(), len(h) - ends
-            yield from self._repeats(rows.slice(0, ends))
+            yield from self._repeats(rows.slice(0, ends), groups)
         if held:
-            yield from self._repeats(pa.Table.from_batches(held))
+            yield from self._repeats(pa.Table.from_batches(held), groups)
 
-    def _repeats(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def _repeats(self, rows: pa.Table, groups: int) -> Iterator[pa.RecordBatch]:
         h = rows.column("h").to_numpy()
         step = max(1, SUFFIXES * 2 // (self.window - self.gram))
         lo = 0
         while lo < len(h):
             hi = min(lo + step, len(h))
             hi = max(hi if hi == len(h) else int(np.searchsorted(h, h[hi])), int(np.searchsorted(h, h[lo], "right")))
-            yield self._repeats_in(rows.slice(lo, hi - lo))
+            yield self._repeats_in(rows.slice(lo, hi - lo), groups)
             lo = hi
 
-    def _repeats_in(self, rows: pa.Table) -> pa.RecordBatch:
+    def _repeats_in(self, rows: pa.Table, groups: int) -> pa.RecordBatch:
         pieces = rows.column("piece").to_pylist()
-        n, ids, cs, starts = (rows.column(k).to_numpy() for k in ("n", "id", "c", "s"))
+        n, ids, us, starts = (rows.column(k).to_numpy() for k in ("n", "id", "u", "s"))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.int64)
         own = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         order, group = deep_shallow(data, begin[own] + offset, self.window)
-        by = np.lexsort((cs[own][order], (starts[own] + offset)[order], ids[own][order], group))
+        by = np.lexsort((us[own][order], (starts[own] + offset)[order], ids[own][order], group))
         repeat = np.ones(len(own), bool)
         repeat[order[by[np.flatnonzero(np.diff(group[by], prepend=-1))]]] = False
         edge = np.concatenate([[0], np.cumsum(n)])
@@ -227,16 +262,25 @@ class Strings(Kernel):
         gap[np.arange(len(own)) + own] = repeat
         first, last = runs(gap)
         piece = np.searchsorted(edge + np.arange(len(edge)), first, "right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[piece]), pa.array(cs[piece]), pa.array(starts[piece] + first - (edge[piece] + piece)), pa.array(last - first)], names=["id", "c", "s", "n"])
+        return dealt_by(us[piece], groups, [starts[piece] + first - (edge[piece] + piece), last - first], groups)
 
-    def removed(self, raw: bytes, flagged: list[tuple[int, int]]) -> tuple[list[int], str]:
-        a = np.array(flagged, np.int64)
-        gone = cover(len(raw), a[:, 0], a[:, 0] + a[:, 1] - 1 + self.window)
+    def removed(self, raw: bytes, s: np.ndarray, n: np.ndarray) -> tuple[list[int], str]:
+        gone = cover(len(raw), s, s + n - 1 + self.window)
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         first, last = runs(gone)
         return np.column_stack([first, last]).ravel().tolist(), hashlib.sha256(kept).hexdigest()
 
 
+def copies(h: np.ndarray, ph: np.ndarray, i: np.ndarray, s: np.ndarray, u: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces in order of gram, hash, document, start and text, which of them are the same as the one before, and `more`.
+    One gram and one hash (128 bits together) are the same bytes."""
+    order = by_first([h, ph, i, s, u])
+    h, ph, i, s, u = (c[order] for c in (h, ph, i, s, u))
+    copy = np.zeros(len(h), bool)
+    copy[1:] = (h[1:] == h[:-1]) & (ph[1:] == ph[:-1])
+    return h, ph, i, s, u, copy, *(c[order] for c in more)
+
+
 def hash_long(b: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "big", signed=True)
 
