@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -21,9 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*?(?:>|\Z)""", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+from fathomline.llm.common import blocks
+
+#: Attributes up to the tag's end: a quote counts right after `=` and if it is closed; possessive, so that time is linear.
+_REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+>""")
+_COMMENT = re.compile(r"</>|<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z])[^>]*+(?:>|\Z)", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 _TOKEN = re.compile(r"[a-z]+")
 
 # Element names of HTML by their role.
@@ -36,6 +40,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: A start tag that ends an open element of the second kind (unless one of the third stands between).
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SECTIONS = ("article", "nav", "aside", "footer", "header", "main", "form", "section", "body")
+#: What may stand in a head; anything else begins the body.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Start tags that end open graphics and choices that were not closed.
+BREAKS_OUT = frozenset("article aside blockquote body center dd div dl dt footer form h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre section table ul".split())
 
 
 @dataclass
@@ -47,93 +55,175 @@ class Block:
 
 
 def _words_of(tag: str) -> list[str]:
+    """The words of a tag's class, id and role, and whether it is hidden."""
     out: list[str] = []
-    for name, value in _ATTRIBUTE.findall(tag):
+    for name, value in _ATTRIBUTE.findall(tag, _NAME.match(tag).end()):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value):
             out.append("!hidden")
         elif name in ("class", "id", "role"):
             out += _TOKEN.findall(value)
     return out
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order, with their features."""
-    stack: list[tuple[str, list[str]]] = []
+class Open:
+    """The open elements, with what is asked of them kept up to date, so that depth costs nothing."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, list[str]]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[str] = []
+        self.sections: list[str] = []
+        self.raw = 0
+        self.about: dict[str, int] = {}  # features of the open elements, and how many of them have each
+
+    def _features(self, name: str, words: list[str]) -> list[str]:
+        own = [f"word={w}" for w in words]
+        if name not in INLINE and name != "html":
+            own.append(f"in={name}")
+        return own if self.known is None else [f for f in own if f in self.known]
+
+    def push(self, name: str, words: list[str]) -> None:
+        self.where.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, words))
+        if name not in INLINE and name != "html":
+            self.blocks.append(name)
+        if name in SECTIONS:
+            self.sections.append(name)
+        self.raw += name in RAW
+        for f in self._features(name, words):
+            self.about[f] = self.about.get(f, 0) + 1
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost of these, or -1."""
+        return max((at[-1] for n in names if (at := self.where.get(n))), default=-1)
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            name, words = self.stack.pop()
+            self.where[name].pop()
+            if name not in INLINE and name != "html":
+                self.blocks.pop()
+            if name in SECTIONS:
+                self.sections.pop()
+            self.raw -= name in RAW
+            for f in self._features(name, words):
+                self.about[f] -= 1
+                if not self.about[f]:
+                    del self.about[f]
+
+
+class Tags:
+    """The tags of a page one by one, in time linear in it.
+
+    Quotes count right after `=` only. A tag that its quotes would keep open to the end of the page ends at its first `>`,
+    as do all after it; without any it ends the page."""
+
+    def __init__(self, page: str):
+        self.page, self.trusted = page, True
+
+    def after(self, at: int) -> tuple[int, int, str] | None:
+        """Start, end and lower-case name of the next tag (comments and declarations: no name)."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if m := _COMMENT.match(page, at):
+                return at, m.end(), ""
+            if m := _NAME.match(page, at):
+                end = _REST.match(page, m.end()) if self.trusted else None
+                if end:
+                    return at, end.end(), m.group(1).lower()
+                self.trusted = False
+                close = page.find(">", m.end())
+                return at, close + 1 if close >= 0 else len(page), m.group(1).lower()
+            at += 1
+        return None
+
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The page's leaf blocks in order, with their features; with `known`, those among it only."""
+    now = Open(known)
     out: list[Block] = []
     text: list[str] = []
     linked = at = 0
+    unending: set[str] = set()  # elements without a further end tag
 
     def flush() -> None:
         nonlocal linked
         body = " ".join("".join(text).split())
         if body:
-            out.append(Block(body, _features(body, stack, linked)))
+            out.append(Block(body, _features(body, now, linked)))
         text.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not now.raw:
             raw = entities.unescape(raw) if "&" in raw else raw
             text.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if now.where.get("a"):
                 linked += len(raw.strip())
 
-    while True:
-        m = _TAG.search(page, at)
-        add(page[at : m.start()] if m else page[at:])
-        if not m:
-            break
-        at, tag = m.end(), m.group()
-        if not (n := _NAME.match(tag)):
+    tags = Tags(page)
+    while found := tags.after(at):
+        start, stop, name = found
+        add(page[at:start])
+        at = stop
+        if not name:
             continue
-        name = n.group(1).lower()
+        tag = page[start:stop]
         if tag[1] == "/":
-            if any(t == name for t, _ in stack):
+            place = now.last(name)
+            if place >= 0:
                 if name not in INLINE:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
+                now.pop_to(place)
             elif name == "p":
                 flush()
+            elif name == "br":
+                add(" ")
             continue
         if name == "br":
-            text.append(" ")
+            add(" ")
             continue
-        if name in RAW and not tag.endswith("/>"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>" + (r"|<body\b" if name == "head" else ""), re.I).search(page, at)
-            at = len(page) if not end else end.start() if end.group()[1] != "/" else end.end()
+        closed = tag.endswith("/>") and "=" not in tag[max(tag.rfind(c) for c in " \t\n\r\f\"'") + 1 :]
+        if name in UNPARSED and not closed:
             if name not in INLINE:
                 flush()
+            end = None if name in unending else re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                unending.add(name)
+                if name in ("script", "style"):
+                    at = len(page)
             continue
+        if now.raw:
+            if name not in IN_HEAD and (place := now.last("head")) >= 0 or name in BREAKS_OUT and (place := now.last("svg", "math", "select")) >= 0:
+                now.pop_to(place)
         if name not in INLINE:
             flush()
-            opened = [t for t, _ in stack]
-            if "p" in opened:
-                del stack[len(opened) - 1 - opened[::-1].index("p") :]
+            if (place := now.last("p")) >= 0 and not now.raw:
+                now.pop_to(place)
             if name in CLOSES:
                 what, until = (x.split() for x in CLOSES[name])
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in until:
+                edge = now.last(*until)
+                while (place := now.last(*what)) > edge:
+                    now.pop_to(place)
+                    if name != "tr":
                         break
-                    if stack[k][0] in what:
-                        del stack[k:]
-                        if name != "tr":
-                            break
-        if name not in VOID and not tag.endswith("/>"):
-            stack.append((name, _words_of(tag)))
+        if name not in VOID and not closed:
+            now.push(name, _words_of(tag))
+    add(page[at:])
     flush()
     for i, b in enumerate(out):
         b.features += [f"at={min(i, 3)}", f"from_end={min(len(out) - 1 - i, 3)}"]
     return out
 
 
-def _features(body: str, stack: list[tuple[str, list[str]]], linked: int) -> list[str]:
-    tags = [t for t, _ in stack if t not in INLINE and t not in ("html",)]
-    section = next((t for t in reversed(tags) if t in SECTIONS), "none")
-    own = tags[-1] if tags else "none"
-    out = {"bias", f"tag={own}", f"section={section}", *(f"in={t}" for t in tags), *(f"word={w}" for _, ws in stack for w in ws), *(f"near={w}" for _, ws in stack[-2:] for w in ws)}
+def _features(body: str, now: Open, linked: int) -> list[str]:
+    section, own = (x[-1] if x else "none" for x in (now.sections, now.blocks))
+    out = {"bias", f"tag={own}", f"section={section}", *now.about, *(f"near={w}" for _, ws in now.stack[-2:] for w in ws)}
     n, share = len(body), linked / max(1, len(body))
     out.add(f"size={min(9, n.bit_length())}")
     out.add(f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}")
@@ -248,9 +338,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[list[Block], list[
     out = []
     while len(out) < n:
         page, labels = _labelled(rng)
-        blocks = leaf_blocks(page)
-        if len(blocks) == len(labels):
-            out.append((blocks, labels))
+        found = leaf_blocks(page)
+        if len(found) == len(labels):
+            out.append((found, labels))
     return out
 
 
@@ -325,18 +415,20 @@ def default_field() -> Field:
 
 
 def main_text(page: str, model: Field) -> str:
-    blocks = leaf_blocks(page)
-    return " ".join(b.text for b, keep in zip(blocks, model.decode(blocks), strict=True) if keep)
+    found = leaf_blocks(page, model.weights)
+    return " ".join(b.text for b, keep in zip(found, model.decode(found), strict=True) if keep)
 
 
 def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), model: Field | None = None) -> DataFrame:
     """The columns `keep`, text (the main blocks joined by a space; empty if none) and n_chars of each row.
 
-    Null html is empty; markup of any brokenness is read to its end; repeated rows come out alike."""
+    Null html is empty and a page without blocks has an empty text; broken markup is read on as `Tags` says, but an unclosed
+    comment, script or style ends the page; repeated rows come out alike. A page of any length is held by one task, in time
+    linear in it."""
     shared = pages.sparkSession.sparkContext.broadcast(model or default_field())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in blocks(batch, html)):
             texts = [main_text(t.as_py() or "", shared.value) for t in b.column(html)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
