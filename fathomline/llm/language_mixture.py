@@ -2,14 +2,18 @@
 
 Counts of byte 3-grams (hashed to `BUCKETS`) per language are gathered over all labelled rows and make smoothed
 likelihoods. A document's words are draws from a mixture of languages: expectation-maximisation estimates its proportions
-from the words' n-gram likelihoods. Starting from all languages, the least is taken out and the rest estimated again; of
-these sets the one of the highest penalised likelihood (half a logarithm of the words for each further language) is chosen,
-and its largest proportion names the document.
+from the words' n-gram likelihoods. Starting from all languages, however many, the least is taken out and the rest estimated
+again; of these sets the one of the highest penalised likelihood (half a logarithm of the words for each further language)
+is chosen, and its largest proportion names the document.
+
+Several languages go at once only where that skips no better set: with responsibilities r, taking out the set D costs at
+most the sum over words of -log(1 - r(D)); where this is less than the penalty of one language, the set without D beats
+every set between.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +28,8 @@ from fathomline.llm.spaced_seeds import folded
 BUCKETS = 1 << 15
 SMOOTHING = 0.2
 ITERATIONS = 12
-#: Languages of which a document may be mixed; more are narrowed down by a first estimate.
-MOST_MIXED = 8
+#: Likelihoods (words x languages) that are held at a time; beyond it they are computed again for each pass.
+MOST_HELD = 1 << 24
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -79,40 +83,96 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     names = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(names)))
     np.add.at(counts, (got.column("bucket").to_numpy(), np.searchsorted(names, got.column("lang").to_numpy().astype(str)) if names else []), got.column("n").to_numpy())
-    return Model(names, np.log((counts + smoothing) / (counts.sum(0) + smoothing * BUCKETS)).astype(np.float32))
-
-
-def mixtures(ll: np.ndarray, of: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (texts, languages) of the best set by penalised likelihood, and that likelihood per word. ll: log
-    likelihoods (words, languages); of: where each text's words begin. Texts without words have zeros."""
-    n, k = len(of) - 1, ll.shape[1]
+    with np.errstate(divide="ignore"):  # without smoothing an unseen gram is impossible
+        return Model(names, np.log((counts + smoothing) / (counts.sum(0) + smoothing * BUCKETS)).astype(np.float32))
+
+
+class Likelihoods:
+    """Log likelihoods of words in all languages, by slices of bounded size. own(lo, hi): those of words lo to hi."""
+
+    def __init__(self, own: Callable[[int, int], np.ndarray], words: int, languages: int, most: int = MOST_HELD):
+        self.words, self.languages = words, languages
+        step = max(1, most // max(1, languages))
+        self.edges = [*range(0, words, step), words] if words else []
+        self.own = own
+        self.held = self._of(0, words) if 0 < words <= step and languages else None
+
+    def _of(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        ll = self.own(lo, hi)
+        top = ll.max(1, keepdims=True)
+        return np.exp(ll - top), top[:, 0].astype(np.float64)
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First and last word, likelihoods relative to the word's best, and the best's logarithm."""
+        for lo, hi in zip(self.edges, self.edges[1:], strict=False):
+            yield lo, hi, *(self.held or self._of(lo, hi))
+
+
+def _by_text(rows: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each text; text: their texts' numbers in order."""
+    out = np.zeros((n, *rows.shape[1:]))
+    if len(text):
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        out[text[first]] = np.add.reduceat(rows, first, axis=0, dtype=np.float64)
+    return out
+
+
+def mixtures(like: Likelihoods | np.ndarray, of: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (texts, languages) of the best set by penalised likelihood, and that likelihood per word. of: where each
+    text's words begin. Texts without words have zeros."""
+    if isinstance(like, np.ndarray):
+        like = Likelihoods(lambda lo, hi, ll=like: ll[lo:hi], *like.shape)
+    n, k = len(of) - 1, like.languages
     count = np.diff(of)
     best, best_score = np.zeros((n, k)), np.full(n, -np.inf)
-    full = np.flatnonzero(count)
-    if not len(full) or not k:
+    if not k:
         return best, best_score
-    edge = of[full]
-    doc = np.repeat(np.arange(len(full)), count[full])
-    top = ll.max(1, keepdims=True)
-    like = np.exp(ll - top)
-    base = np.add.reduceat(top[:, 0].astype(np.float64), edge)
-    m = count[full].astype(np.float64)
-    active = np.ones((len(full), k), bool)
-    while True:
-        p = active / active.sum(1, keepdims=True)
-        for _ in range(iterations):
-            r = like * p.astype(np.float32)[doc]
-            r /= r.sum(1, keepdims=True) + np.float32(1e-30)
-            p = np.add.reduceat(r, edge, axis=0) / m[:, None]
-        score = base + np.add.reduceat(np.log((like * p.astype(np.float32)[doc]).sum(1) + 1e-30).astype(np.float64), edge)
-        score -= 0.5 * np.log(m + 1) * (active.sum(1) - 1)
-        better = score > best_score[full]
-        best[full[better]], best_score[full[better]] = p[better], score[better]
-        if active.sum(1).max() == 1:
-            break
-        worst = np.where(active, p, np.inf).argmin(1)
-        active[np.arange(len(full)), worst] &= active.sum(1) == 1
-    best_score[full] /= m
+    text = np.repeat(np.arange(n), count)
+    active = np.ones((n, k), bool)
+    todo = np.flatnonzero(count)
+    while len(todo):
+        place = np.full(n, -1)
+        place[todo] = np.arange(len(todo))
+        used = np.flatnonzero(active[todo].any(0))  # the other languages are out for all of these
+
+        def slices() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for lo, hi, x, top in like:
+                at = place[text[lo:hi]]
+                rows = np.flatnonzero(at >= 0)
+                if len(rows):
+                    yield (x, at, top) if len(rows) == len(at) and len(used) == k else (x[np.ix_(rows, used)], at[rows], top[rows])
+
+        parts = list(slices()) if like.held else None
+        on, m = active[np.ix_(todo, used)], count[todo].astype(np.float64)
+        p = on / on.sum(1, keepdims=True)
+        for _ in range(iterations if on.sum(1).max() > 1 else 0):
+            shares = np.zeros(p.shape)
+            for x, at, _top in parts or slices():
+                r = x * p.astype(np.float32)[at]
+                r /= r.sum(1, keepdims=True) + np.float32(1e-30)
+                shares += _by_text(r, at, len(todo))
+            p = shares / m[:, None]
+        penalty = 0.5 * np.log(m + 1)
+        score = -penalty * (on.sum(1) - 1)
+        cost = np.zeros(p.shape)
+        order = np.argsort(p, axis=1, kind="stable")
+        for x, at, top in parts or slices():
+            r = x * p.astype(np.float32)[at]
+            whole = r.sum(1, keepdims=True) + np.float32(1e-30)
+            score += _by_text(top + np.log(whole[:, 0].astype(np.float64)), at, len(todo))
+            gone = np.cumsum(np.take_along_axis(r / whole, order[at], 1), axis=1, dtype=np.float64)
+            cost += _by_text(-np.log(np.maximum(1 - gone, 1e-9)), at, len(todo))
+        better = np.flatnonzero(score > best_score[todo])
+        best[todo[better]] = 0
+        best[np.ix_(todo[better], used)] = p[better]
+        best_score[todo[better]] = score[better]
+        more = np.flatnonzero(on.sum(1) > 1)
+        free = (cost[more] < penalty[more, None]).sum(1)  # inactive ones cost nothing and come first
+        out = np.minimum(np.maximum(free, (~on[more]).sum(1) + 1), len(used) - 1)
+        rank = np.argsort(order[more], axis=1)
+        active[np.ix_(todo[more], used)] = rank >= out[:, None]
+        todo = todo[more]
+    best_score[count > 0] /= count[count > 0]
     return best, best_score
 
 
@@ -120,25 +180,24 @@ def identified(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
     """key, lang_pred, score (the proportion of that language), languages and proportions (the chosen set, largest first).
 
     A text that is null or has no letter is `und` with score 0, as is every text when nothing was learned. Of equal
-    proportions the first language in order is named."""
+    proportions the first language in order is named. A text of any length is one row of one task, which holds its bytes and at
+most `MOST_HELD` likelihoods."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logp = shared.value.names, shared.value.logp
         for batch in batches:
-            for b in blocks(batch, text, 1 << 20):
+            for b in blocks(batch, text, max(1 << 14, (1 << 20) * 8 // max(8, len(names)))):
                 texts = b.column(text)
                 code, starts, ends, of = grams(*text_block(texts))
                 k = len(names)
-                sums = np.concatenate([np.zeros((1, k)), np.cumsum(logp[code], axis=0, dtype=np.float64)])
-                ll = (sums[ends - 1] - sums[starts - 1]).astype(np.float32)
-                if k > MOST_MIXED:  # others are as good as impossible
-                    first, _ = mixtures(ll, of, 3)
-                    out = np.argsort(-first, axis=1, kind="stable")[:, MOST_MIXED:]
-                    shut = np.zeros(first.shape, np.float32)
-                    np.put_along_axis(shut, out, -60.0, 1)
-                    ll += shut[np.repeat(np.arange(len(of) - 1), np.diff(of))]
-                share, _ = mixtures(ll, of)
+
+                def own(lo: int, hi: int) -> np.ndarray:
+                    first, last = starts[lo] - 1, ends[hi - 1]
+                    sums = np.concatenate([np.zeros((1, k)), np.cumsum(logp[code[first:last]], axis=0, dtype=np.float64)])
+                    return (sums[ends[lo:hi] - 1 - first] - sums[starts[lo:hi] - 1 - first]).astype(np.float32)
+
+                share, _ = mixtures(Likelihoods(own, len(starts), k), of)
                 order = np.argsort(-share, axis=1, kind="stable")
                 pred, score, langs, shares = [], [], [], []
                 for i in range(b.num_rows):
@@ -149,7 +208,7 @@ def identified(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
                         langs.append([])
                         shares.append([])
                         continue
-                    used = [int(j) for j in order[i] if share[i, j] > 0.005]
+                    used = [int(j) for j in order[i] if share[i, j] > 0]
                     pred.append(names[used[0]])
                     score.append(min(1.0, float(share[i, used[0]])))
                     langs.append([names[j] for j in used])
