@@ -1,9 +1,10 @@
 """Best-fit packing into sequences of bounded length.
 
 Each task packs its own rows online with a bounded number of open bins: a bitset over free space finds the open bin that
-fits tightest in one shift; when nothing fits and all bins are open, the fullest closes. Bins still open when a task ends
-are packed once more as items, those of up to `GROUP` tasks together, by the same best fit on falling size, so that the
-number of tasks costs next to nothing. Texts are read once and never shuffled; what is moved are the pieces of open bins.
+fits tightest in one shift; when nothing fits and all bins are open, the fullest closes. What is still open when a task ends
+goes on, bin by bin in the order of tasks and bins, to another such packer with the same bound on open bins, one for up to
+`GROUP` tasks, so that the number of tasks costs next to nothing. Texts are read once and never shuffled; what is moved are
+the pieces of open bins.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut
+from fathomline.llm.common import blocks, cut
 
 LENGTH = 2048
 OPEN_BINS = 1024
@@ -58,7 +59,9 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         self.piece = None
-        plain = spec.get("normalizer") is None and spec["model"].get("type", "BPE") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = model.get("dropout") or model.get("ignore_merges") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback")
+        plain = spec.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not odd and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         if plain:
             import tiktoken
 
@@ -151,7 +154,7 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, length: int = LENGT
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and its ids).
 
     A document is its ids and the end id; null and empty texts are the end id alone; repeated rows are packed each.
-    Sequences are gapless from offset 0 and at most `length` long."""
+    Sequences are gapless from offset 0 and at most `length` long. A text of any length is encoded by one task."""
     kind = df.schema[key].dataType.simpleString()
     names = [key, "piece", "start", "length", "ids_crc32", "__bin", "offset", "__fill", "__open", *(["ids"] if with_ids else [])]
     schema = f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, __bin bigint, offset bigint, __fill bigint, __open boolean" + (", ids array<int>" if with_ids else "")
@@ -172,7 +175,7 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, length: int = LENGT
             ready.clear()
             return arrow
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, text)):
             kinds = [batch.schema.field(key).type, pa.int32(), *[pa.int64()] * 6, pa.bool_(), *([pa.list_(pa.int32())] if with_ids else [])]
             for k, t in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
                 ids = encode(t.as_py() or "") + end
@@ -193,10 +196,10 @@ def pack(df: DataFrame, key: str, text: str, tokenizer: str, length: int = LENGT
     left = placed.where("__open and offset = 0").select("__bin", "__fill", F.expr(f"shiftright(__bin, 32) div {GROUP}").alias("g"))
 
     def again(table: pa.Table) -> pa.Table:
-        """Best fit on falling size with no bound on open bins: all sizes are known."""
+        """Open bins as items, in order, into bounded open bins; a new sequence has the number of its first."""
         ids, fills = table.column("__bin").to_numpy(), table.column("__fill").to_numpy()
-        order = np.lexsort((ids, -fills))
-        bins = Bins(length, len(ids) + 1)
+        order = np.argsort(ids)
+        bins = Bins(length, open_bins)
         at = [bins.place(int(f)) for f in fills[order]]
         first = {b: int(i) for i, (b, o) in zip(ids[order], at, strict=True) if not o}
         return pa.table({"__bin": ids[order], "sequence_id": pa.array([first[b] for b, _ in at], pa.int64()), "__base": pa.array([o for _, o in at], pa.int64())})

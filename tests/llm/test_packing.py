@@ -70,3 +70,47 @@ def test_whole_operator(spark, bins):
     total = sum(len(k) for v in want.values() for k in v)
     assert len(seqs) <= -(-total // 256) * (1.15 if bins > 2 else 1.5) + 1
     assert p.pack(df.limit(0), "doc_id", "text", PATH).count() == 0
+
+
+def test_tasks_and_groups_like_one_after_the_other(spark, monkeypatch):
+    """Each task's packing and that of what it left, two tasks to a group, against the same done in sequence."""
+    monkeypatch.setattr(p, "GROUP", 2)
+    rng = np.random.default_rng(5)
+    df = documents(spark, [" ".join(["w"] * n) for n in rng.integers(1, 60, 150)]).select("doc_id", "text").repartition(5, "doc_id")
+    got = p.pack(df, "doc_id", "text", PATH, length=64, open_bins=4).collect()
+    parts = df.rdd.glom().collect()
+    e, where, left = p.Encoder(PATH), {}, {}
+    for t, rows in enumerate(parts):
+        bins, fill = p.Bins(64, 4), {}
+        for r in rows:
+            for piece, (_, n) in enumerate(p.cuts(len(e(r.text)) // 4 + 1, 64)):
+                b, at = bins.place(n)
+                where[r.doc_id, piece] = (t, b, at)
+                fill[b] = at + n
+        for b, f in bins.rest():
+            left.setdefault(t // 2, []).append((t, b, f))
+    moved = {}
+    for g, items in left.items():
+        bins, first = p.Bins(64, 4), {}
+        for t, b, f in sorted(items):
+            bin_, at = bins.place(f)
+            moved[t, b] = (first.setdefault(bin_, (t, b)), at)
+        assert bins.open <= 4
+    want = {k: ((t, b), at) if (t, b) not in moved else (moved[t, b][0], moved[t, b][1] + at) for k, (t, b, at) in where.items()}
+    assert len(left) == 3
+    assert {(r.doc_id, r.piece): ((r.sequence_id >> 32, r.sequence_id & 0xFFFFFFFF), r.offset) for r in got} == want
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) <= total / 64 * 1.25
+
+
+def test_other_tokenizer_files_are_not_encoded_by_the_short_way(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH).read())
+    for where, name, value in (("pre_tokenizer", "use_regex", False), ("model", "ignore_merges", True)):
+        other = json.loads(json.dumps(spec))
+        other[where][name] = value
+        path = str(tmp_path / f"{name}.json")
+        open(path, "w").write(json.dumps(other))
+        e, whole = p.Encoder(path), Tokenizer.from_file(path)
+        assert e.piece is None and np.frombuffer(e("don't go  there"), "<u4").tolist() == whole.encode("don't go  there", add_special_tokens=False).ids
