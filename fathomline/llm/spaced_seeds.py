@@ -9,8 +9,8 @@ splits a passage and doesn't lose it. An item is in a document if at least `SIMI
 With the masks here no substitution of a fifth of the words of an item of up to 20 hides it (checked by enumeration in the
 tests); longer ones have longer runs. Items of fewer than four words are sought as they are.
 
-The benchmark's hashes go to every task if its text is at most `MOST_BYTES`; otherwise they are joined by shuffle.
-Documents are read once and not moved in the first case.
+The benchmark's hashes go to every task if its text is at most `MOST_BYTES`; otherwise they are joined by shuffle, with the
+same result (tested with `most_bytes=0`). Documents are read once and not moved in the first case.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import blocks, text_block
+from fathomline.llm.common import blocks, cut, text_block
 from fathomline.llm.kernels import byte_prefix, mix, ranges, words
 
 #: Token positions used (1) and ignored (0).
@@ -149,7 +149,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """key, the columns `carry`, contaminated, item_ids and overlaps (the share of each item found, `similar` or more) of each document.
 
     Null and empty texts and items without a word match nothing; items without an id are left out; repeated rows are judged
-    each; items of equal text are all named."""
+    each; items of equal text are all named. `carry` must not name the result's own columns. A text of any length is one row
+    of one task."""
+    if {"contaminated", "item_ids", "overlaps"} & {key, *carry}:
+        raise ValueError("a carried column has the name of a result")
     items = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).cast("long").alias("item"), F.col("text").alias("item_text"))
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     if size > most_bytes:
@@ -178,7 +181,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, masks: tuple[str, ...], similar: float, carry: tuple[str, ...]) -> DataFrame:
-    """The same for a benchmark of any size: seeds of both sides meet in a join; texts join the pairs that hit."""
+    """The same for a benchmark of any size: seeds of both sides meet in a join; a text meets its items in one row. Texts are
+    known by 128 bits of hash."""
 
     short = range(1, min(map(len, masks)))
 
@@ -194,25 +198,32 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, masks: tuple
                         if of_item:
                             fits = np.isin(n[d], [k for k in np.unique(n) if m in masks_of(int(k), masks)])
                             at, h, d = at[fits], h[fits], d[fits]
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("i").take(pa.array(d)), pa.array(at - of[d])], names=["h", "i", "p"])
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(b.column(c).take(pa.array(d)) for c in "ij"), pa.array(at - of[d])], names=["h", "i", "j", "p"])
 
         return each
 
-    own = docs.select(F.xxhash64(F.col(text)).alias("i"), F.col(text).alias("t"))
-    left = own.dropDuplicates(["i"]).mapInArrow(seeded(False), "h bigint, i bigint, p bigint")
-    right = items.select(F.col("item").alias("i"), F.col("item_text").alias("t")).mapInArrow(seeded(True), "h bigint, i bigint, p bigint").select("h", F.col("i").alias("item"), F.col("p").alias("q"))
-    pairs = left.join(right, "h").groupBy("i", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("diagonals"))
-    laid = pairs.join(items, "item").join(own.dropDuplicates(["i"]), "i")
+    names = (F.xxhash64(F.col(text)).alias("i"), F.xxhash64(F.lit(7), F.col(text)).alias("j"))
+    own = docs.where(F.col(text).isNotNull()).select(*names, F.col(text).alias("t")).dropDuplicates(["i", "j"])
+    schema = "h bigint, i bigint, j bigint, p bigint"
+    left = own.mapInArrow(seeded(False), schema)
+    right = items.select(F.col("item").alias("i"), F.lit(0).cast("long").alias("j"), F.col("item_text").alias("t")).mapInArrow(seeded(True), schema).select("h", F.col("i").alias("item"), F.col("p").alias("q"))
+    # Written first, so that both sides are shuffled for the join and Spark can split the tasks of a common seed.
+    pairs = left.join(cut(right), "h").groupBy("i", "j", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("diagonals"))
+    laid = cut(pairs.join(items, "item").groupBy("i", "j").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("items")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares = []
+            found = []
             for k in range(b.num_rows):
-                a, q = (tokens(*text_block(b.column(c).slice(k, 1)))[0] for c in ("t", "item_text"))
-                shares.append(matched(a, q, np.sort(b.column("diagonals")[k].values.to_numpy())))
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("item"), pa.array(shares, pa.float64())], names=["i", "item", "share"])
-
-    over = laid.select("i", "item", "item_text", "t", "diagonals").mapInArrow(verify, "i bigint, item bigint, share double").where(F.col("share") >= similar)
-    best = over.groupBy("i", "item").agg(F.max("share").alias("share")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("item", "share"))).alias("found"))
+                a = tokens(*text_block(b.column("t").slice(k, 1)))[0]
+                share: dict[int, float] = {}
+                for x in b.column("items")[k].as_py():
+                    own = tokens(*text_block(pa.array([x["item_text"]])))[0]
+                    share[x["item"]] = max(matched(a, own, np.sort(np.array(x["diagonals"], np.int64))), share.get(x["item"], 0.0))
+                found.append(_judged(share, similar))
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("j"), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))], names=["i", "j", "contaminated", "item_ids", "overlaps"])
+
+    best = cut(laid.join(own, ["i", "j"]).select("i", "j", "t", "items").mapInArrow(verify, f"i bigint, j bigint, {RESULT}").where("contaminated"))
     kept = list(dict.fromkeys([key, *carry]))
-    return docs.select(*kept, F.xxhash64(F.col(text)).alias("__i")).join(best.withColumnRenamed("i", "__i"), "__i", "left").select(*kept, F.col("found").isNotNull().alias("contaminated"), F.coalesce(F.col("found.item"), F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce(F.col("found.share"), F.array().cast("array<double>")).alias("overlaps"))
+    named = docs.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(kept)), *names).join(best, ["i", "j"], "left")
+    return named.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(kept)), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("overlaps", F.array().cast("array<double>")).alias("overlaps"))
