@@ -247,7 +247,10 @@ INDEX = "stream_pid int, stream_type int, pts array<long>, unit_bytes array<long
 
 def transport_streams(df: DataFrame, key: str, text: str, media: bool = True) -> DataFrame:
     """One row per row of `df`: the key, digests of the payload as read back from its stream, the stream's index (time
-    stamp and size of each access unit, which of them are random-access points) and, if `media`, the stream itself."""
+    stamp and size of each access unit, which of them are random-access points) and, if `media`, the stream itself.
+
+    A null or empty text is one unit of padding; repeated rows come out alike; the stream of a text of any length is held by
+    one task. Other columns are left out."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, " + ", ".join(f"{f}" for f in (COLUMNS + ", " + INDEX).replace(" long", " bigint").replace("<long>", "<bigint>").split(", ")) + (", media binary" if media else "")
     fields = list(arrow_struct(COLUMNS + ", " + INDEX + (", media binary" if media else "")))

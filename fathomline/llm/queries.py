@@ -17,7 +17,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mpeg_ts.transport_streams(table(spark, sf_dir, "documents"), "doc_id", "text", media=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stream_pid", "stream_type", "pts", "unit_bytes", "random_access", "continuity_errors")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> rule_ensemble.Ensemble:
