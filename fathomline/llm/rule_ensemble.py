@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import blocks, text_block
+from fathomline.llm.common import Renamed, blocks, text_block
 from fathomline.llm.kernels import byte_prefix, ranges, words
 
 #: Bound on the labelled rows used for fitting.
@@ -261,5 +261,6 @@ def scored(docs: DataFrame, model: Ensemble, key: str = "doc_id", text: str = "t
 
 
 def accepted(docs: DataFrame, model: Ensemble, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of `docs` with a score of at least `least`."""
-    return with_statistics(docs, text, docs.columns).where(model.column() >= least).select(*docs.columns)
+    """The rows of `docs` with a score of at least `least`, whatever their other columns are called."""
+    own = Renamed(docs)
+    return own.back(with_statistics(own.df, own[text], own.df.columns).where(model.column() >= least).select(*own.df.columns))

@@ -101,3 +101,21 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{where}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_are_carried(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    where = folder[0]
+    extra = ["id", "raw", "contaminated", "item_ids", "overlaps", "s_upper", "first", "key", "v", "b", "__k", "score"]
+    docs = spark.read.parquet(f"{where}/documents.parquet").where("doc_id < 12 or doc_id in (20, 21, 30)")
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, docs.doc_id * 100 + i)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        columns = docs.columns
+        stage(spark, docs, where).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns == columns
+    kept = docs.collect()
+    assert kept and all(r[name] == r.doc_id * 100 + i for r in kept for i, name in enumerate(extra))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, where).count() >= len(kept)
