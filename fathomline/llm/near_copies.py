@@ -1,14 +1,17 @@
-"""Near copies by the true similarity of their shingles: the pipeline's near-duplicate stage.
-
-Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. No radius of a
-64-bit SimHash covers that, so candidates come from prefixes: put all shingles in one order, whatever it is; of two sets that
-similar the first n - ceil(0.8 n) + 1 shingles of each have one in common. Shingles that are frequent in a sample go last
-in the order, which changes the work and not the result.
-
-Sets that share a prefix shingle make a bucket. All members of a bucket are laid against one of them, then against
-another, and buckets of which all members are connected are done; what is left is compared pair by pair, after `PIVOTS`
-rounds or as soon as that makes at most `MOST_PAIRS` pairs. A pair is verified on its texts only if sizes and a 256-bit parity signature (which differs in at most as many bits
-as the sets in elements) allow the similarity.
+"""Near copies by true similarity of their shingles: the pipeline's near-duplicate stage.
+
+Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. Candidates come from
+the covering SimHash tables first (`simhash.links` over fingerprints of the same shingles). No radius of 64 bits reaches
+that similarity, so prefixes complete them: put all shingles in one order, whatever it is; of two sets that similar the
+first n - ceil(0.8 n) + 1 shingles of each have one in common. Shingles that are frequent in a sample go last in the order,
+which changes the work and not the result.
+
+Sets that share a prefix shingle make a bucket. A task lays the members it has against one of them and sends on only that
+one, so that no bucket gathers. Of these pairs the likeliest of each set is verified on the texts. Buckets of which all
+members turn out connected are done. In the others, blocks of up to `BLOCK` members are laid against each other and the
+likeliest pair of any two components is verified, `PIVOTS` times; then all that is left is. A pair is a candidate only if
+sizes and a 1024-bit parity signature (which differs in at most as many bits as the sets in elements) allow the similarity.
+Work, not rows, grows with the square of a bucket whose sets are not connected.
 """
 
 from __future__ import annotations
@@ -17,22 +20,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm import simhash
 from fathomline.llm.common import blocks, cut, text_block
 from fathomline.llm.components import components
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, groups_for, spans, unpacked
 from fathomline.llm.kernels import byte_prefix, mix, ranges, words
 from fathomline.llm.simhash import _LOWER
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
-PIVOTS = 3
-MOST_PAIRS = 20_000_000
+PIVOTS = 1
+#: Members of a bucket that one task holds of either side.
+BLOCK = 2048
 #: Texts in the sample that finds frequent shingles, and how many of these go to every task.
 SAMPLE, MOST_FREQUENT = 20_000, 100_000
-_SIGNATURE = ["s0", "s1", "s2", "s3"]
+#: Places of the filters that find buckets to go on with; what they let through in vain is sorted out after.
+FILTER_BITS = 20
+#: Bits of a shingle's hash that name its bucket: others that share them only add candidates.
+_NAMED = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def block_sets(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -71,9 +81,28 @@ def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """256 parities of the set's elements as four words."""
-    bits = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """1024 parities of the set's elements as 128 bytes."""
+    bits = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def signatures(column: pa.ChunkedArray) -> np.ndarray:
+    """Signatures as rows of sixteen words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 16)
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many bits signatures x and y differ, and whether that and the sizes n and m allow the similarity: with d
+    elements in one set only, it is a/b or more if and only if (b + a) d <= (b - a) (n + m)."""
+    a, b = SIMILAR
+    differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return differ, (differ * (a + b) <= (n + m) * (b - a)) & (np.minimum(n, m) * b >= np.maximum(n, m) * a)
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is in over half the elements."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
 
 
 def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,104 +124,267 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, v (the hash that names a set), n, the signature and the prefix of each row."""
+    """key, v (the hash that names a set), n, the signature and the fingerprint of each row."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text):
+                sets = block_sets(*text_block(part.column(text)))
+                arrays = [part.column(key), pa.array(names(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "v", "n", "sig", "fp"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(each, f"{key} {kind}, v bigint, n bigint, sig binary, fp bigint")
+
+
+def names(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64).view(np.int64)
+
+
+def starred(h: np.ndarray, v: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Members v of buckets h, each once, in order, and the place of each one's bucket's first. Which is first is drawn by
+    lot, the same for all buckets, so that buckets of the same sets choose alike."""
+    order = by_first([h, mix(v.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), *(-m for m in more)])
+    h, v, more = h[order], v[order], [m[order] for m in more]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
+    h, v, more = h[new], v[new], [m[new] for m in more]
+    run, first = spans(h)
+    return h, v, first[run] if len(h) else run, *more
+
+
+def _met(docs: DataFrame, text: str, groups: int) -> DataFrame:
+    """Blobs: edges (x, p) from each member of a bucket to another that connect it (from number `groups` on), and the members
+    (h, x) of all buckets that have several (from 2 * `groups` on)."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting, seen = 0, set()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, v, first = starred(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            seen.clear()
+            later = first != np.arange(len(h))
+            many = np.zeros(len(h), bool)
+            many[first[later]] = True
+            yield dealt_by(v[later], groups, [v[first[later]]], groups)
+            yield dealt(h[later | many], groups, [h[later | many], v[later | many]], 2 * groups)
+            yield dealt(h[~later], groups, [h[~later], v[~later], many[~later].astype(np.int64)])
+
         for batch in batches:
             for part in blocks(batch, text):
                 sets = block_sets(*text_block(part.column(text)))
-                v = np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64)
-                marks = np.array([signature(s) for s in sets])
-                first = [prefix(s, frequent, counts).view(np.int64) for s in sets]
-                arrays = [part.column(key), pa.array(v.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(marks[:, j].copy()) for j in range(4)), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, "v", "n", *_SIGNATURE, "first"])
+                for v, own in zip(names(sets).tolist(), sets, strict=True):
+                    if v in seen:
+                        continue
+                    seen.add(v)
+                    first = prefix(own, frequent, counts) & _NAMED
+                    held.append((first, np.full(len(first), v)))
+                    waiting += len(first)
+                if waiting >= CHUNK:
+                    yield from out()
+                    waiting = 0
+        if held:
+            yield from out()
+
+    def meet(table: pa.Table) -> pa.Table:
+        if table.column("b")[0].as_py() >= groups:
+            return table
+        h, v, told = unpacked(table.column("z"), 3)
+        h, v, first, told = starred(h.view(np.uint64), v, told)
+        later = first != np.arange(len(h))
+        many = later.copy()
+        many[first[later]] = True
+        fresh = many & (told == 0)  # a task that had several has listed its members
+        return pa.Table.from_batches([dealt_by(v[later], groups, [v[first[later]]], groups), dealt(h[fresh], groups, [h[fresh], v[fresh]], 2 * groups)])
+
+    return cut(docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS))
+
+
+def _filter(of: DataFrame, column: str) -> np.ndarray:
+    """Flags by the first bits of the column's mixed hash: a filter of fixed size."""
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(each, f"{key} {kind}, v bigint, n bigint, {', '.join(f'{s} bigint' for s in _SIGNATURE)}, first array<bigint>")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots(b.column(0).to_numpy().view(np.uint64))).astype(np.int64))], names=["at"])
 
+    flags = np.zeros(1 << FILTER_BITS, bool)
+    flags[of.select(column).mapInArrow(each, "at bigint").distinct().toArrow().column("at").to_numpy()] = True
+    return flags
+
+
+def slots(x: np.ndarray) -> np.ndarray:
+    return mix(x ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - FILTER_BITS)
 
-def _possible(x: str, y: str) -> Column:
-    """Whether sizes and signatures allow the similarity: with d elements in one set only, it is a/b or more if and only
-    if (b + a) d <= (b - a) (n + m)."""
-    a, b = SIMILAR
-    differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _SIGNATURE), F.lit(0))
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (differ * (a + b) <= (n + m) * (b - a)) & (F.least(n, m) * b >= F.greatest(n, m) * a)
+
+def _members(listed: DataFrame, h: np.ndarray | None = None, v: np.ndarray | None = None) -> DataFrame:
+    """(h, v) of the listed members whose bucket or set the filter passes."""
+    shared = listed.sparkSession.sparkContext.broadcast((h, v))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z in b.column("z"):
+                x, y = (c.view(np.uint64) for c in unpacked([z], 2))
+                good = shared.value[0][slots(x)] if shared.value[0] is not None else shared.value[1][slots(y)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[good].view(np.int64)), pa.array(y[good].view(np.int64))], names=["h", "v"])
+
+    return listed.select("z").mapInArrow(each, "h bigint, v bigint")
+
+
+def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates among joined pairs, and in how many bits their signatures differ."""
+    for b in batches:
+        differ, good = possible(signatures(b.column("xs")), signatures(b.column("ys")), b.column("xn").to_numpy(), b.column("yn").to_numpy())
+        kept = pa.array(good)
+        yield pa.RecordBatch.from_arrays([b.column("v").filter(kept), b.column("w").filter(kept), pa.array(differ[good])], names=["v", "w", "d"])
+
+
+def apart_pairs(table: pa.Table, only_best: bool) -> pa.Table:
+    """Candidate pairs (v, w) of different components in one block of a bucket, or between two: of any two components the
+    likeliest, or all. Columns: v, root, own (the member's block), n and the signature."""
+    v, root, own, n = (table.column(c).to_numpy() for c in ("v", "root", "own", "n"))
+    marks = signatures(table.column("sig"))
+    cross = len(np.unique(own)) > 1
+    found: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
+    step = max(1, (1 << 18) // len(v))
+    for lo in range(0, len(v), step):
+        at = slice(lo, lo + step)
+        differ, good = possible(marks[at, None, :], marks[None, :, :], n[at, None], n[None, :])
+        good &= (root[at, None] < root[None, :]) & ((own[at, None] != own[None, :]) | (not cross))
+        i, j = np.nonzero(good)
+        found.append(np.column_stack([root[i + lo], root[j], differ[i, j], v[i + lo], v[j]]))
+        if only_best:
+            found = [_first_of_each(np.concatenate(found))]
+    pairs = np.concatenate(found)
+    return pa.table({"v": pairs[:, 3], "w": pairs[:, 4]})
+
+
+def _first_of_each(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    return rows[new]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (u, v) of which the texts' sets are similar."""
+    """Those (u, v) of which the texts' sets are similar. texts: v, z (compressed)."""
     a, b = SIMILAR
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))  # rows of one u come one after the other
         for batch in batches:
-            for part in blocks(batch, "tu"):
-                x, y = (block_sets(*text_block(part.column(c))) for c in ("tu", "tv"))
-                both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)])
-                either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - both
-                good = pa.array(both * b >= either * a)
-                yield pa.RecordBatch.from_arrays([part.column("u").filter(good), part.column("v").filter(good)], names=["u", "v"])
+            good = []
+            for x, y in zip(batch.column("tu"), batch.column("tv"), strict=True):
+                if (x := x.as_py()) != known[0]:
+                    known = (x, set_of(x))
+                p, q = known[1], set_of(y.as_py())
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both * b >= (len(p) + len(q) - both) * a)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in "uv"], names=["u", "v"])
+
+    named = lambda c: texts.select(F.col("v").alias(c), F.col("z").alias(f"t{c}"))
+    return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "tu", "tv").mapInArrow(each, "u bigint, v bigint")
+
 
-    named = lambda c: texts.select(F.col("v").alias(c), F.col("t").alias(f"t{c}"))
-    return pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "tu", "tv").mapInArrow(each, "u bigint, v bigint")
+def set_of(z: bytes) -> np.ndarray:
+    raw = zstandard.decompress(z)
+    return block_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
-def _links(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], pivots: int) -> DataFrame | None:
-    """(v, root) of all connected sets; none if nothing is similar. sets: v, n, signature, first, one row a set; texts_of: (v, t) of the
+def _links(sets: DataFrame, met: DataFrame, groups: int, texts_of: Callable[[DataFrame], DataFrame], pivots: int) -> DataFrame | None:
+    """(v, root) of all connected sets; none if nothing is similar. sets: v, n, sig, fp, one row a set; texts_of: (v, z) of the
     sets v that it is given."""
-    posts = sets.select("v", F.explode("first").alias("h"))
-    shared = posts.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    live = cut(posts.join(shared, "h").select("h", "size", "v", F.col("v").alias("root")))
-    marks = sets.select("v", F.struct("n", *_SIGNATURE).alias("mark"))
+    marks = sets.select("v", "n", "sig")
+
+    def pairs_of(table: pa.Table) -> pa.Table:
+        x, p = unpacked(table.column("z"), 2)
+        both = np.unique(np.column_stack([x, p]), axis=0)
+        return pa.table({"v": both[:, 0], "w": both[:, 1]})
+
+    stars = cut(met.where(F.col("b").between(groups, 2 * groups - 1)).groupBy("b").applyInArrow(pairs_of, "v bigint, w bigint"))
+    prints = sets.groupBy("fp").agg(F.min("v").alias("w"))
+    alike = sets.join(prints, "fp").where("v != w").select("v", "w")
+    beside = simhash.links(prints.select("fp"))
+    beside = beside.join(prints.select(F.col("fp").alias("u"), F.col("w").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("w").alias("b")), "v").select(F.col("a").alias("v"), F.col("b").alias("w"))
+    near = cut(stars.unionByName(alike).unionByName(beside))
+    texts = cut(texts_of(near.select(F.explode(F.array("v", "w")).alias("v")).distinct()))
+    laid = near.join(marks.select("v", F.col("n").alias("xn"), F.col("sig").alias("xs")), "v").join(marks.select(F.col("v").alias("w"), F.col("n").alias("yn"), F.col("sig").alias("ys")), "w")
+    likely = laid.select("v", "w", "xn", "xs", "yn", "ys").mapInArrow(_likeliest, "v bigint, w bigint, d bigint").groupBy("v").agg(F.min(F.struct("d", "w")).alias("best")).select("v", F.col("best.w").alias("w"))
 
     def checked(near: DataFrame) -> DataFrame:
-        """The similar ones of the rows' pairs (v, w)."""
-        pairs = near.select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
-        named = lambda c, m: marks.select(F.col("v").alias(c), F.col("mark").alias(m))
-        left = cut(pairs.join(named("u", "x"), "u").join(named("v", "y"), "v").where(_possible("x", "y")).select("u", "v"))
-        if left.isEmpty():
-            return left
-        wanted = left.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-        return cut(_verified(left, cut(texts_of(wanted))))
-
-    edges = roots = None
-    r = 0
-    while not live.isEmpty():
-        last = r >= pivots or r > 0 and live.groupBy("h").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] <= 2 * MOST_PAIRS
-        if last:
-            x, y = (live.join(marks, "v").select("h", "v", "root", F.col("mark").alias(c)) for c in "xy")
-            near = x.join(y.select("h", F.col("v").alias("w"), F.col("root").alias("other"), "y"), "h").where("v < w").where(_possible("x", "y"))
-        else:
-            by = live.groupBy("h").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)).alias("o"), F.col("v").alias("w"), F.col("root").alias("other"))).alias("p")).select("h", "p.w", "p.other")
-            near = live.join(by, "h")
-        found = checked(near.where(F.col("root") != F.col("other")))
+        """The similar ones of the pairs (v, w)."""
+        return cut(_verified(near.select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct(), texts))
+
+    edges = checked(likely)
+    if edges.isEmpty():
+        edges = roots = None
+        open_ends = stars
+    else:
+        roots = cut(components(edges, "u", "v"))
+        rooted = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+        open_ends = stars.join(rooted("v"), "v", "left").join(rooted("w"), "w", "left").where(F.coalesce("rv", "v") != F.coalesce("rw", "w"))
+    listed = met.where(F.col("b") >= 2 * groups)
+    inside = _filter(_members(listed, v=_filter(open_ends, "v")), "h")
+
+    def apart(members: DataFrame) -> DataFrame:
+        """Members with their roots, of the buckets that have several roots; buckets of the same members once."""
+        now = members.withColumn("root", F.col("v")) if roots is None else members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        now = cut(now.select("h", "v", "root"))
+        several = now.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "v").cast("decimal(20,0)")).alias("t"))
+        several = cut(several.where("a != b").groupBy("s", "t", "size").agg(F.min("h").alias("h")))
+        return cut(now.join(several.select("h", "size"), "h"))
+
+    live = apart(_members(listed, h=inside))
+    for r in range(pivots + 1):
+        if live.isEmpty():
+            break
+        parts = F.ceil(F.col("size") / BLOCK).cast("int")
+        blocks_of = live.withColumn("own", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        blocks_of = blocks_of.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("size", "other")
+        held = blocks_of.join(marks, "v").select("h", "i", "j", "v", "root", "own", "n", "sig")
+        found = checked(held.groupBy("h", "i", "j").applyInArrow(apart_pairs_of(r < pivots), "v bigint, w bigint"))
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = cut(components(edges, "u", "v"))
-        if last:
-            break
-        r += 1
-        now = live.drop("root").where("size > 2")  # a bucket of two is settled
-        now = now.withColumn("root", F.col("v")) if roots is None else now.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        apart = now.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-        live = cut(now.join(apart.select("h"), "h", "left_semi").select(*live.columns))
+        if r < pivots:
+            live = apart(live.select("h", "v"))
     return roots
 
 
+def apart_pairs_of(only_best: bool) -> Callable[[pa.Table], pa.Table]:
+    def each(table: pa.Table) -> pa.Table:
+        return apart_pairs(table, only_best)
+
+    return each
+
+
 def near_copies(docs: DataFrame, key: str, text: str, pivots: int = PIVOTS) -> DataFrame:
-    """key and component: the smallest key reachable over links, itself included. Texts without words are alike."""
+    """key and component: the smallest key reachable over links, itself included. Texts without words (null and empty ones
+    among them) are alike; repeated rows share a component."""
     marked = cut(_marked(docs, key, text))
     least = marked.groupBy("v").agg(F.min(key).alias("least"))
     sets = marked.drop(key).dropDuplicates(["v"])
+    groups = groups_for((sets.agg(F.sum("n")).first()[0] or 0) / 5)
+
+    def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in blocks(batch, "t"):
+                data, at = text_block(part.column("t"))
+                yield pa.RecordBatch.from_arrays([part.column("least"), pa.array([small.compress(data[x:y].tobytes()) for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["least", "z"])
+
+    stored = docs.select(F.col(key).alias("least"), F.col(text).alias("t")).mapInArrow(each_text, f"least {docs.schema[key].dataType.simpleString()}, z binary")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        return docs.select(F.col(key).alias("least"), F.col(text).alias("t")).join(least.join(wanted, "v"), "least").select("v", "t").dropDuplicates(["v"])
+        return stored.join(least.join(wanted, "v"), "least").select("v", "z").dropDuplicates(["v"])
 
-    roots = _links(sets, texts, pivots)
+    roots = _links(sets, _met(docs, text, groups), groups, texts, pivots)
     if roots is None:
         return marked.join(least, "v").select(key, F.col("least").alias("component"))
     rooted = least.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return marked.select(key, "v").join(rooted.select("v", "root").join(names, "root").select("v", "component"), "v").select(key, "component")
+    firsts = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    named = cut(rooted.select("v", "root").join(firsts, "root").select("v", "component"))
+    return marked.select(key, "v").join(named, "v").select(key, "component")

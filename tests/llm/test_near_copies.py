@@ -35,9 +35,9 @@ def planted():
     return texts + [None, "", " ", "One two", "one  two", "one", texts[0].upper(), texts[0]]
 
 
-@pytest.mark.parametrize("pivots", [0, 3])
-def test_groups_like_brute_force(spark, pivots, monkeypatch):
-    monkeypatch.setattr(n, "MOST_PAIRS", 10)
+@pytest.mark.parametrize("pivots,block", [(0, 2048), (1, 4)])
+def test_groups_like_brute_force(spark, pivots, block, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", block)
     texts = planted()
     sets = [shingles(t) for t in texts]
     alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
