@@ -7,9 +7,9 @@ the data.
 
 Work is on distinct fingerprints only (copies collapse before any shuffle of tables). A bucket of up to `MOST_IN_BUCKET`
 fingerprints is compared inside one task and leaves a spanning forest of its links, never all pairs. Members of larger
-buckets are linked exactly without gathering them (radius up to 2): x and y differ in at most two bits if and only if some
-z is within one bit of each, so each member is sent to its own key and its one-bit neighbours, and each key (at most 65
-members) links its members to the least of those in range.
+buckets are linked exactly without gathering them, with the same result (radius up to 2; tested with `most=3`): x and y
+differ in at most two bits if and only if some z is within one bit of each, so each member is sent to its own key and its
+one-bit neighbours, and each key (at most 65 members) links its members to the least of those in range.
 """
 
 from __future__ import annotations
@@ -103,7 +103,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST_IN_BUCKET)
         raise ValueError("buckets beyond the bound are linked exactly up to radius 2 only")
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("k")) for t, m in enumerate(masks(radius))])
     keyed = distinct.select("fp", F.inline(tables))
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, as are the minima below, so that joins shuffle both sides and Spark can split the tasks of a hot key.
+    sizes = cut(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes, ["t", "k"])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST_IN_BUCKET)
     if radius == 1:  # only pairs of which one is the key itself
         near = beside.where("fp != z").join(hot.withColumnRenamed("fp", "z"), "z", "left_semi").select(F.col("fp").alias("u"), F.col("z").alias("v"))
     else:
-        near = beside.join(beside.groupBy("z").agg(F.min("fp").alias("v")), "z").where("fp != v").select(F.col("fp").alias("u"), "v")
+        near = beside.join(cut(beside.groupBy("z").agg(F.min("fp").alias("v"))), "z").where("fp != v").select(F.col("fp").alias("u"), "v")
     return small.unionByName(near)
 
 
@@ -131,10 +132,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, radius: int = RADIUS) ->
     """key, fp and component: the smallest key reachable over links of at most `radius` differing bits, itself included.
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows share a component; a null key counts
-    as no key, so a component of null keys only has a null name."""
+    as no key, so a component of null keys only has a null name. A text of any length is one row of one task."""
     marked = cut(fingerprints(df, key, text))
     distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
     joined = components(links(distinct.select("fp"), radius), "u", "v")
     rooted = distinct.join(joined.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return marked.join(rooted.select("fp", "root").join(names, "root").select("fp", "component"), "fp").select(key, "fp", "component")
+    names = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    named = cut(rooted.select("fp", "root").join(names, "root").select("fp", "component"))
+    return marked.join(named, "fp").select(key, "fp", "component")
