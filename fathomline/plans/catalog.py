@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.functions import chunking, templates
+from fathomline.operators.search import HybridIndex
 
 #: Types whose values have a plain text.
 TEXT_LIKE = (T.StringType, T.VarcharType, T.CharType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)
 MOST_NAME = 59
+#: Tables of control state besides the registry.
+CONTROL = ("jobs", "jobs_dead", "models", "migrations")
 #: Versions of a table that stay for its readers, and patches beyond which they are merged whatever their size.
 KEPT, MOST_PATCHES = 8, 256
 
@@ -49,6 +52,7 @@ class Entry:
     watermark: str | None = None
     owns_vector: bool = True
     state: str = "active"
+    shape: str | None = None
 
 
 class Store:
@@ -228,9 +232,9 @@ class Catalog:
         self._save([*self.entries(), e])
         return e
 
-    def adopt(self, table: str, source: str, model: str, dim: int, key: list[str], vector: str, backfill: str = "missing", **options: object) -> Entry:
+    def adopt(self, table: str, source: str, model: str, dim: int, key: list[str], vector: str, backfill: str = "missing", observed: bool = False, **options: object) -> Entry:
         """Take over a vector column that is there; its non-null vectors must have the dimension. backfill: missing, all or
-        none. An adopted column is never dropped."""
+        none. An adopted column is never dropped. An observed one is only searched: others write it, until `promote`."""
         df = self._table(table)
         if vector not in df.columns or not isinstance(df.schema[vector].dataType, T.ArrayType):
             raise CatalogError(f"no vector column {vector!r}")
@@ -238,10 +242,39 @@ class Catalog:
             raise CatalogError("backfill must be missing, all or none")
         if df.where(F.col(vector).isNotNull() & (F.size(vector) != dim)).limit(1).count():
             raise CatalogError(f"{vector!r} holds vectors of another dimension")
-        e = replace(self.plan(table, source, model, dim, key, vector=vector, **options), owns_vector=False, backfill=backfill)
+        e = replace(self.plan(table, source, model, dim, key, vector=vector, **options), owns_vector=False, backfill=backfill, state="observed" if observed else "active")
+        e = replace(e, shape=fingerprint(df.select(*e.key, e.source, e.vector)))
         self._save([*self.entries(), e])
         return e
 
+    def promote(self, table: str, source: str) -> Entry:
+        """Maintain an observed entry from now on; what it was adopted with must still hold."""
+        e = self.find(table, source)
+        if e.state != "observed":
+            raise CatalogError(f"{table}.{source} is {e.state}, not observed")
+        df = self._as_adopted(e)
+        if df.where(F.col(e.vector).isNotNull() & (F.size(e.vector) != e.dim)).limit(1).count():
+            raise CatalogError(f"{e.vector!r} holds vectors of another dimension")
+        new = replace(e, state="active")
+        self._save([new if x.id == e.id else x for x in self.entries()])
+        return new
+
+    def _as_adopted(self, e: Entry) -> DataFrame:
+        df = self._table(e.table)
+        missing = {*e.key, e.source, e.vector} - set(df.columns)
+        if missing or e.shape is not None and fingerprint(df.select(*e.key, e.source, e.vector)) != e.shape:
+            raise CatalogError(f"{e.table} has changed since {e.vector!r} was taken over")
+        return df
+
+    def index(self, table: str, source: str, **more: object) -> HybridIndex:
+        """The search index of an entry, over its table as it is now; refused if an adopted table has changed its shape."""
+        e = self.find(table, source)
+        if e.state == "quarantined":
+            raise CatalogError(f"{table}.{source} is quarantined")
+        df = self._as_adopted(e) if e.chunking == "none" else self._table(table)
+        key = e.key[0] if len(e.key) == 1 else list(e.key)
+        return HybridIndex(df, key, e.source, e.vector, e.dim, e.distance, e.config, chunks=self.store.read(e.destination) if e.destination else None, **more)
+
     def set_format(self, table: str, source: str, template: str | None) -> tuple[Entry, bool]:
         """The entry and whether all rows must be embedded again (the template differs in any byte)."""
         e = self.find(table, source)
@@ -280,12 +313,20 @@ class Catalog:
         return out
 
     def dump(self, path: str) -> None:
-        """Control state as JSON lines by Spark's own writer; `restore` reads it."""
-        self.store.spark.createDataFrame([(json.dumps(asdict(e)),) for e in self.entries()], "value string").write.mode("overwrite").text(path)
+        """Control state below `path`: the registry as JSON lines, the other control tables with their counters."""
+        facts = {}
+        for name in CONTROL:
+            if v := self.store.version(name):
+                self.store.read(name).write.mode("overwrite").parquet(f"{path}/{name}")
+                facts[name] = {k: x for k, x in v.items() if k not in ("n", "schema", "patches", "last_patch")}
+        lines = [json.dumps(asdict(e)) for e in self.entries()] + [json.dumps({"tables": facts})]
+        self.store.spark.createDataFrame([(x,) for x in lines], "value string").write.mode("overwrite").text(f"{path}/registry")
 
     def restore(self, path: str) -> None:
-        rows = [json.loads(r.value) for r in self.store.spark.read.text(path).collect()]
-        self._save([Entry(**{**e, "key": tuple(e["key"])}) for e in sorted(rows, key=lambda e: e["id"])])
+        rows = [json.loads(r.value) for r in self.store.spark.read.text(f"{path}/registry").collect()]
+        self._save([Entry(**{**e, "key": tuple(e["key"])}) for e in sorted((r for r in rows if "id" in r), key=lambda e: e["id"])])
+        for name, facts in next(r["tables"] for r in rows if "tables" in r).items():
+            self.store.write(name, self.store.spark.read.parquet(f"{path}/{name}"), **facts)
 
 
 def fingerprint(df: DataFrame) -> str:

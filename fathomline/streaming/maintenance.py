@@ -20,6 +20,7 @@ from fathomline.operators.lexical import Keeper
 from fathomline.operators.lineage import cut
 from fathomline.operators.search import key_text
 from fathomline.plans.catalog import Catalog, Entry
+from fathomline.plans.migrate import Migration, Migrator
 from fathomline.sources.embedders import Embedder, embedded
 
 #: Rows beyond which a one-shot backfill is refused.
@@ -76,6 +77,22 @@ class Worker:
             raise ValueError(f"over {MOST_QUEUED} rows: use the cursor backfill")
         return self.enqueue(entry, rows.select(key_text(*entry.key).alias("pk_value"), F.lit(None).alias("chunk_id")), "embed" if entry.chunking == "none" else "refresh")
 
+    def set_format(self, table: str, source: str, template: str | None) -> int:
+        """Change an entry's template and queue all its rows if that changes what is embedded; returns how many."""
+        e, changed = self.catalog.set_format(table, source, template)
+        if not changed or e.state != "active":
+            return 0
+        rows = self.catalog.store.read(e.table).where(F.col(e.source).isNotNull())
+        return self.enqueue(e, rows.select(key_text(*e.key).alias("pk_value"), F.lit(None).alias("chunk_id")), "embed" if e.chunking == "none" else "refresh")
+
+    def abort(self, migrator: Migrator, m: Migration) -> Migration:
+        """Abort a migration and queue the rows whose only vector went with it."""
+        e = self.catalog.entries()
+        m, lost = migrator.abort(m)
+        entry = next(x for x in e if x.id == m.registry_id)
+        self.enqueue(entry, lost.select(key_text(*entry.key).alias("pk_value"), F.lit(None).alias("chunk_id")))
+        return m
+
     def backfill_page(self, entry: Entry, page: int) -> tuple[Entry, int]:
         """The cursor backfill: the next rows by key while the queue is less than a page deep; done when there are none."""
         if self.jobs().where(F.col("registry_id") == entry.id).limit(page).count() >= page:

@@ -299,3 +299,41 @@ def test_large_texts_are_skipped_and_failures_wait(spark, catalog):
     waited = []
     m = g.run(g.start("mig", "body", "m3"), wait=waited.append)
     assert (m.state, m.rows_done, m.rows_skipped, m.failures) == ("failed", 1, 1, 3) and waited == [10.0, 20.0]
+
+
+def test_observed_tables(spark, catalog):
+    catalog.store.write("own", spark.createDataFrame([(1, "a gull", [1.0, 2.0]), (2, "a tern", None)], "id long, body string, v array<float>"))
+    e = catalog.adopt("own", "body", "m", 2, ["id"], "v", observed=True)
+    w = Worker(catalog, {"m": E.MockEmbedder(2)})
+    assert catalog.index("own", "body").search_with_vector([1, 2]).first().pk_value == "1"
+    assert w.apply("own", catalog.store.read("own").withColumn("body", F.lit("other"))) == 0 and w.jobs().count() == 0
+    assert catalog.promote("own", "body").state == "active" and catalog.find("own", "body").id == e.id
+    with pytest.raises(CatalogError):
+        catalog.promote("own", "body")
+    catalog.store.write("own", catalog.store.read("own").withColumn("v", F.col("v").cast("array<double>")))
+    with pytest.raises(CatalogError):
+        catalog.index("own", "body")
+
+
+def test_formats_queue_and_control_state_is_kept(spark, catalog, tmp_path):
+    e = catalog.enable("docs", "body", "m", 3, ["id"])
+    w = Worker(catalog, {"m": E.MockEmbedder(3)})
+    assert w.set_format("docs", "body", "$kind: $body") == 5 and w.set_format("docs", "body", "$kind: $body") == 0
+    w.refresh(catalog.find("docs", "body"))
+    dead, queue = w.dead().count(), w.jobs().count()
+    assert dead
+    catalog.dump(str(tmp_path / "dump"))
+    high = catalog.store.version("jobs")["high_water"]
+    for name in ("jobs", "jobs_dead", "registry"):
+        catalog.store.drop(name)
+    catalog.restore(str(tmp_path / "dump"))
+    assert (w.dead().count(), w.jobs().count(), catalog.store.version("jobs")["high_water"]) == (dead, queue, high)
+    assert catalog.find("docs", "body").format == "$kind: $body" and catalog.find("docs", "body").id == e.id
+
+
+def test_aborted_migrations_queue_what_they_held(spark, catalog):
+    catalog.store.write("mig", spark.createDataFrame([(1, "a", [1.0] * 3), (2, "bb", None)], "id long, body string, body_semantic array<float>"))
+    catalog.adopt("mig", "body", "m", 3, ["id"], "body_semantic")
+    w, g = Worker(catalog, {"m": E.MockEmbedder(3)}), Migrator(catalog, {"m3": E.MockEmbedder(5)}, {})
+    assert w.abort(g, g.run(g.start("mig", "body", "m3"))).state == "aborted"
+    assert [r.pk_value for r in w.jobs().collect()] == ["2"]
