@@ -34,4 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete what `cut` wrote for frames that nothing reads any more: all that was made of them has been cut itself."""
+    for df in frames:
+        path = getattr(df, "_written", None) if df is not None else None
+        if path:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

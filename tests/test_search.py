@@ -177,3 +177,17 @@ def test_knn(spark):
 def test_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, 'x "y"'), (3, None), (4, ""), (5, "a,b")], "id long, s string")
     assert [r.k for r in df.orderBy("id").select(key_text("id", "s").alias("k")).collect()] == ["(1,a)", '(2,"x ""y""")', "(3,)", '(4,"")', '(5,"a,b")']
+
+
+def test_functions_of_sql(spark):
+    from fathomline.plans import sql
+
+    assert sql.register(spark) == sql.register(spark)
+    df = spark.createDataFrame([(1, "Oak, oak elm"), (2, "elm"), (3, None), (4, "")], "id long, body string")
+    df.createOrReplaceTempView("woods")
+    s = lexical.statistics(df, "body")
+    want = {r.id: pytest.approx(r.score) for r in lexical.scored(df, "body", "oak or elm", s).collect()}
+    dfs = dict(zip(["oak", "elm"], s.of(["oak", "elm"])))
+    parts = " + ".join(f"lexical_score(t, '{w}', {d}, {s.n}, {float(s.avgdl)}D)" for w, d in dfs.items())
+    rows = spark.sql(f"SELECT id, {parts} AS score, rrf_part(0.5D, 60, id) AS r, rrf_part(0.5D, 60, NULL) AS z FROM (SELECT id, lexical_tokens(body) AS t FROM woods) WHERE size(t) > 0").collect()
+    assert {r.id: r.score for r in rows} == want and all(r.r == 0.5 / (60 + r.id) and r.z == 0 for r in rows)
