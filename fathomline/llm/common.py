@@ -40,6 +40,9 @@ def cut(df: DataFrame) -> DataFrame:
     return lineage.cut(df)
 
 
+forget = lineage.forget
+
+
 class Renamed:
     """A frame whose columns are numbered, so that no operator's own names can clash with them; back() restores them."""
 

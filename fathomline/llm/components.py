@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut
+from fathomline.llm.common import cut, forget
 
 #: Edges that one task contracts at a time.
 CONTRACT = 1 << 20
@@ -77,7 +77,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select("v", "m").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(contracted(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
+        last, now = now, cut(contracted(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
+        forget(last, least, low)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.groupBy(F.col("u").alias("v")).agg(F.min(F.col("v")).alias("root")).unionByName(now.select(F.col("v"), F.col("v").alias("root")).distinct())

@@ -14,7 +14,7 @@ import zstandard
 from fathomline.llm.kernels import mix
 
 #: Records that a task settles at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Records that meet in one group: the least to be worth it, and the most that a worker should hold.
 GROUP = (1 << 18, 1 << 22)
 #: Groups: the least to keep a cluster busy, and how many there are before groups grow.

@@ -70,7 +70,7 @@ class Passages(Kernel):
         s = np.flatnonzero(flags)
         return s, *(ranges(prefix(word_hashes(raw, starts, ends, a), b), s, s + self.window, b) for a, b in ((21, 22), (23, 24)))
 
-    def earlier(self, found: DataFrame, groups: int) -> DataFrame:
+    def earlier(self, found: DataFrame, groups: int) -> tuple[DataFrame, list[DataFrame]]:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[list[np.ndarray]] = []
             waiting = 0
@@ -97,7 +97,7 @@ class Passages(Kernel):
             _, _, _, u, s, later = not_first(x.view(np.uint64), y.view(np.uint64), i, u, s)
             return pa.Table.from_batches([runs_of(u[later], s[later], groups)])
 
-        return found.select("u", "id", "z", "s").mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS)
+        return found.select("u", "id", "z", "s").mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS), []
 
     def removed(self, raw: bytes, s: np.ndarray, n: np.ndarray) -> tuple[list[int], str]:
         w = raw.split()

@@ -8,9 +8,9 @@ which changes the work and not the result.
 
 Sets that share a prefix shingle make a bucket. A task lays the members it has against one of them and sends on only that
 one, so that no bucket gathers. Of these pairs the likeliest of each set is verified on the texts. Buckets of which all
-members turn out connected are done. In the others, blocks of up to `BLOCK` members are laid against each other and the
-likeliest pair of any two components is verified, `PIVOTS` times; then all that is left is. A pair is a candidate only if
-sizes and a 1024-bit parity signature (which differs in at most as many bits as the sets in elements) allow the similarity.
+members turn out connected are done. Of the others the largest one of each set is looked at, blocks of up to `BLOCK` members
+laid against each other, and the likeliest pair of any two components verified, `PIVOTS` times; then all pairs of all buckets
+that are left are. A pair is a candidate only if sizes and a 1024-bit parity signature (which differs in at most as many bits as the sets in elements) allow the similarity.
 Work, not rows, grows with the square of a bucket whose sets are not connected.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import simhash
-from fathomline.llm.common import blocks, cut, text_block
+from fathomline.llm.common import blocks, cut, forget, text_block
 from fathomline.llm.components import components
 from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, groups_for, spans, unpacked
 from fathomline.llm.kernels import byte_prefix, mix, ranges, words
@@ -34,7 +34,7 @@ from fathomline.llm.simhash import _LOWER
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
-PIVOTS = 1
+PIVOTS = 2
 #: Members of a bucket that one task holds of either side.
 BLOCK = 2048
 #: Texts in the sample that finds frequent shingles, and how many of these go to every task.
@@ -333,24 +333,33 @@ def _links(sets: DataFrame, met: DataFrame, groups: int, texts_of: Callable[[Dat
         """Members with their roots, of the buckets that have several roots; buckets of the same members once."""
         now = members.withColumn("root", F.col("v")) if roots is None else members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
         now = cut(now.select("h", "v", "root"))
+        done.append(now)
         several = now.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "v").cast("decimal(20,0)")).alias("t"))
         several = cut(several.where("a != b").groupBy("s", "t", "size").agg(F.min("h").alias("h")))
+        done.append(several)
         return cut(now.join(several.select("h", "size"), "h"))
 
+    done = [met, stars, near, texts]
     live = apart(_members(listed, h=inside))
     for r in range(pivots + 1):
         if live.isEmpty():
             break
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocks_of = live.withColumn("own", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        chosen = live
+        if r < pivots:
+            largest = live.groupBy("v").agg(F.max(F.struct("size", "h")).alias("most")).select("most.h").distinct()
+            chosen = live.join(largest, "h", "left_semi")
+        blocks_of = chosen.withColumn("own", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         blocks_of = blocks_of.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("size", "other")
         held = blocks_of.join(marks, "v").select("h", "i", "j", "v", "root", "own", "n", "sig")
         found = checked(held.groupBy("h", "i", "j").applyInArrow(apart_pairs_of(r < pivots), "v bigint, w bigint"))
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = cut(components(edges, "u", "v"))
+        done.append(live)
         if r < pivots:
             live = apart(live.select("h", "v"))
+    forget(*done, live)
     return roots
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import LAST_ID, blocks, cut, text_block
+from fathomline.llm.common import LAST_ID, blocks, cut, forget, text_block
 from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, groups_for, lists_of, spans, unpacked
 
 
@@ -44,9 +44,9 @@ class Kernel:
         """Text number, hash and position code of each mark of a block."""
         raise NotImplementedError
 
-    def earlier(self, found: DataFrame, groups: int) -> DataFrame:
-        """Runs of windows that occur earlier, as blobs of (u, s, n) dealt by u: n windows from s on. found: u, id, c, z
-        (compressed text), s and h (positions and hashes of the repeated marks)."""
+    def earlier(self, found: DataFrame, groups: int) -> tuple[DataFrame, list[DataFrame]]:
+        """Runs of windows that occur earlier, as blobs of (u, s, n) dealt by u: n windows from s on; and tables to forget
+        once these have been read. found: u, id, c, z (compressed text), s and h (positions and hashes of the repeated marks)."""
         raise NotImplementedError
 
     def removed(self, raw: bytes, s: np.ndarray, n: np.ndarray) -> tuple[list[int], str]:
@@ -157,10 +157,12 @@ def removals(df: DataFrame, key: str, text: str, kernel: Kernel) -> DataFrame:
     wanted = firsts.join(hits, "c").select("id", "c", "s", "h").dropDuplicates(["id", "c"])
     stored = long.select("id", "text").mapInArrow(each_text, "id bigint, c bigint, z binary")
     found = cut(stored.join(wanted, ["id", "c"]).dropDuplicates(["id", "c"]).withColumn("u", F.monotonically_increasing_id()))
-    runs = kernel.earlier(found, groups).groupBy("b").applyInArrow(lists_of("u", ["s", "n"]), "u bigint, s array<bigint>, n array<bigint>")
+    earlier, used = kernel.earlier(found, groups)
+    runs = earlier.groupBy("b").applyInArrow(lists_of("u", ["s", "n"]), "u bigint, s array<bigint>, n array<bigint>")
     kept = found.select("u", "id", "c", "z").join(runs, "u").select("id", "c", "z", "s", "n").mapInArrow(each_kept, "id bigint, c bigint, spans array<bigint>, kept_sha256 string")
     # Written first, so that both sides are shuffled for the join and Spark can split the tasks of a content with many copies.
     judged = cut(firsts.join(kept, ["id", "c"], "left").select("c", "c2", F.col("id").alias("first"), "spans", "kept_sha256"))
+    forget(found, *used)
     copy = (F.col("id") > F.col("first")) & (F.col("n") >= kernel.window)
     spans_of = F.when(copy, F.array(F.lit(0).cast("long"), F.col("n"))).otherwise(F.coalesce("spans", F.array().cast("array<bigint>")))
     lengths = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))

@@ -145,7 +145,7 @@ class Strings(Kernel):
         doc = np.searchsorted(at, first, "right") - 1
         return doc, h[chosen[first].astype(np.int64)], (first - at[doc]) * 128 + last - first + 1
 
-    def earlier(self, found: DataFrame, groups: int) -> DataFrame:
+    def earlier(self, found: DataFrame, groups: int) -> tuple[DataFrame, list[DataFrame]]:
         width = self.window
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ class Strings(Kernel):
         if not hot.isEmpty():
             sorted_out = sorted_out.join(hot.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).mapInArrow(single, schema)
         own = sorted_out.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: self._sort(batches, groups), BLOB_COLUMNS)
-        return met.where(F.col("b") >= groups).unionByName(own)
+        return met.where(F.col("b") >= groups).unionByName(own), [met, apart, hot]
 
     def _sort(self, batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
