@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a writer of these tables holds.
+ROW_GROUP = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Point checkpoints at the folder the cluster names in spark.checkpoint.dir. Where it names none and none was set, a
     temporary folder serves a local session, and any other session is refused: its executors could not read it."""
@@ -33,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     before, by products that grow without bound over the rounds of an iteration; and columns that aren't used aren't read."""
     spark = df.sparkSession
     path = shared_folder(spark, "cut")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
