@@ -7,6 +7,8 @@ share of all records, a task sends on at most one or a few of them a chunk, so n
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,6 +31,14 @@ def groups_for(records: float) -> int:
     return max(GROUPS[0], int(records / size))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for other tasks, and idle ones should hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def packed(columns: list[np.ndarray]) -> bytes:
     raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=1).compress(raw)

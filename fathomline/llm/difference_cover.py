@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, unpacked
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, give_back, unpacked
 from fathomline.llm.kernels import byte_prefix, cover, prefix, ranges, runs, words
 from fathomline.llm.repeats import Kernel, removals
 
@@ -84,6 +84,7 @@ class Passages(Kernel):
                         held, waiting = [], 0
             if held:
                 yield from out(held)
+            give_back()
 
         def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             x, y, i, u, s, later = not_first(*(np.concatenate(c) for c in zip(*held, strict=True)))

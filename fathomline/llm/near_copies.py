@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import simhash
 from fathomline.llm.common import blocks, cut, forget, text_block
 from fathomline.llm.components import components
-from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, groups_for, spans, unpacked
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, give_back, groups_for, spans, unpacked
 from fathomline.llm.kernels import byte_prefix, mix, ranges, words
 from fathomline.llm.simhash import _LOWER
 
@@ -113,6 +113,7 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
             for part in blocks(batch, "t"):
                 sets = block_sets(*text_block(part.column("t")))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+        give_back()
 
     raw = F.xxhash64(F.lit(5), F.col(text))
     rate = max(1, docs.count() // SAMPLE)
@@ -132,6 +133,7 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sets = block_sets(*text_block(part.column(text)))
                 arrays = [part.column(key), pa.array(names(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[key, "v", "n", "sig", "fp"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(each, f"{key} {kind}, v bigint, n bigint, sig binary, fp bigint")
@@ -189,6 +191,7 @@ def _met(docs: DataFrame, text: str, groups: int) -> DataFrame:
                     waiting = 0
         if held:
             yield from out()
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("b")[0].as_py() >= groups:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import LAST_ID, blocks, cut, forget, text_block
-from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, groups_for, lists_of, spans, unpacked
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, give_back, groups_for, lists_of, spans, unpacked
 
 
 class Kernel:
@@ -126,6 +126,7 @@ def removals(df: DataFrame, key: str, text: str, kernel: Kernel) -> DataFrame:
                 waiting = 0
         if held:
             yield from out()
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         if table.column("b")[0].as_py() >= groups:  # settled before, on the way to their texts

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import Renamed, blocks, text_block
+from fathomline.llm.dealing import give_back
 from fathomline.llm.kernels import byte_prefix, ranges, words
 
 #: Bound on the labelled rows used for fitting.
@@ -113,6 +114,7 @@ def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             for b in blocks(batch, text):
                 s = statistics(*text_block(b.column(text)))
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(np.ascontiguousarray(c)) for c in s.T)], names=[*keep, *names])
+        give_back()
 
     return df.select(*keep, *([text] if text not in keep else [])).mapInArrow(each, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import cut
-from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, lists_of, spans, unpacked
+from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, give_back, lists_of, spans, unpacked
 from fathomline.llm.kernels import byte_prefix, cover, gram_hashes, mix, ranges, runs, sliding_min
 from fathomline.llm.repeats import Kernel, removals
 
@@ -163,6 +163,7 @@ class Strings(Kernel):
                         held, waiting = [], 0
             if held:
                 yield from out(held)
+            give_back()
 
         def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             h, ph, i, s, u, copy = copies(*(np.concatenate(c) for c in zip(*held, strict=True)))
