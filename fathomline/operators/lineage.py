@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own switch for dropping a query's shuffles when it ends: nothing reads them once its table is written.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes that a writer of these tables holds.
 ROW_GROUP = 32 << 20
 
@@ -37,7 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     before, by products that grow without bound over the rounds of an iteration; and columns that aren't used aren't read."""
     spark = df.sparkSession
     path = shared_folder(spark, "cut")
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
