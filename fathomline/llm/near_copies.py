@@ -3,8 +3,10 @@
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. Candidates come from
 the covering SimHash tables first (`simhash.links` over fingerprints of the same shingles). No radius of 64 bits reaches
 that similarity, so prefixes complete them: put all shingles in one order, whatever it is; of two sets that similar the
-first n - ceil(0.8 n) + 1 shingles of each have one in common. Shingles that are frequent in a sample go last in the order,
-which changes the work and not the result.
+first n - ceil(0.8 n) + 1 shingles of each have one in common. Shingles that no other text has go first in the order and
+make no bucket, so that a text with a fifth of such shingles is in none, whatever passages it shares. A filter of fixed size
+knows them; where it fills up it takes some for shared ones. Shingles that are frequent in a sample go last. Both change the
+work and not the result.
 
 Sets that share a prefix shingle make a bucket. A task lays the members it has against one of them and sends on only that
 one, so that no bucket gathers. Of these pairs the likeliest of each set is verified on the texts. Buckets of which all
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import simhash
 from fathomline.llm.common import blocks, cut, forget, text_block
 from fathomline.llm.components import components
-from fathomline.llm.dealing import BLOB_COLUMNS, CHUNK, by_first, dealt, dealt_by, give_back, groups_for, spans, unpacked
+from fathomline.llm.dealing import BLOB_COLUMNS, BLOBS, CHUNK, by_first, dealt, dealt_by, give_back, groups_for, spans, unpacked
 from fathomline.llm.kernels import byte_prefix, mix, ranges, words
 from fathomline.llm.simhash import _LOWER
 
@@ -41,6 +43,9 @@ BLOCK = 2048
 SAMPLE, MOST_FREQUENT = 20_000, 100_000
 #: Places of the filters that find buckets to go on with; what they let through in vain is sorted out after.
 FILTER_BITS = 20
+#: Places, as a power of two at most, of the filter that tells shingles of several texts (32 MB), and hashes that a task
+#: settles for it at a time.
+SHARED_BITS, SHARED_CHUNK = 28, 1 << 21
 #: Bits of a shingle's hash that name its bucket: others that share them only add candidates.
 _NAMED = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -69,15 +74,21 @@ def block_sets(data: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> list
     return out
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, by rising count in the sample, that a similar set can't all miss."""
+def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, shared: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set that a similar set can't all miss: those of no other text, then by rising count in the
+    sample. With a filter of shared ones, the others are left out of what is returned."""
     a, b = SIMILAR
     n = len(own)
     take = n - -(-a * n // b) + 1 if n else 0
-    if not len(frequent):
-        return own[:take]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    return own[np.lexsort((own, np.where(frequent[at] == own, counts[at], 0)))[:take]]
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        rank = np.where(frequent[at] == own, counts[at], 0)
+    if shared is not None:
+        slot = own >> np.uint64(64 - int(len(shared) * 8 - 1).bit_length())
+        rank[(shared[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 0] = -1
+    first = np.lexsort((own, rank))[:take]
+    return own[first[rank[first] >= 0]]
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -124,6 +135,64 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _shared(docs: DataFrame, text: str, shingles: int) -> np.ndarray:
+    """Packed flags by the first bits of a shingle's hash: clear only if no shingle there is in several texts. Sent are hashes
+    alone, of which as many bits are kept as tell that many shingles apart; the last bit says that a task had it twice."""
+    length = int(shingles).bit_length()
+    bits = min(SHARED_BITS, max(10, length + 2))
+    kept = np.uint64(((1 << min(62, max(bits, length + 9))) - 1) << (64 - min(62, max(bits, length + 9))))
+    groups = groups_for(shingles)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting, seen = 0, set()
+
+        def out() -> pa.RecordBatch:
+            h = np.concatenate(held) & kept
+            held.clear()
+            h.sort()
+            first = spans(h)[1]
+            own = h[first]
+            return dealt(own, groups, [own | (np.diff(np.append(first, len(h))) > 1).astype(np.uint64)])
+
+        for batch in batches:
+            for part in blocks(batch, text):
+                sets = block_sets(*text_block(part.column(text)))
+                for v, own in zip(names(sets).tolist(), sets, strict=True):
+                    if v not in seen:
+                        seen.add(v)
+                        held.append(own)
+                        waiting += len(own)
+                if waiting >= SHARED_CHUNK:
+                    yield out()
+                    waiting = 0
+                    seen.clear()
+        if waiting:
+            yield out()
+        give_back()
+
+    def meet(table: pa.Table) -> pa.Table:
+        h = unpacked(table.column("z"), 1)[0].view(np.uint64)
+        h.sort()
+        own = h >> np.uint64(1)
+        first = spans(own)[1]
+        several = (np.diff(np.append(first, len(h))) > 1) | (h[np.append(first[1:], len(h)) - 1] & np.uint64(1) == 1)
+        slot = np.unique(h[first[several]] >> np.uint64(64 - bits)).astype(np.int64)
+        if not len(slot):
+            return BLOBS.empty_table()
+        start = slot[0] >> 3
+        flags = np.zeros(((slot[-1] >> 3) - start + 1) * 8, np.uint8)
+        flags[slot - start * 8] = 1
+        return pa.table({"b": [int(start)], "z": [np.packbits(flags, bitorder="little").tobytes()]}, schema=BLOBS)
+
+    flags = np.zeros(1 << (bits - 3), np.uint8)
+    found = docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS).toArrow()
+    for start, z in zip(found.column("b").to_pylist(), found.column("z"), strict=True):
+        part = np.frombuffer(z.as_py(), np.uint8)
+        flags[start : start + len(part)] |= part
+    return flags
+
+
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, v (the hash that names a set), n, the signature and the fingerprint of each row."""
 
@@ -155,13 +224,13 @@ def starred(h: np.ndarray, v: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray
     return h, v, first[run] if len(h) else run, *more
 
 
-def _met(docs: DataFrame, text: str, groups: int) -> DataFrame:
+def _met(docs: DataFrame, text: str, groups: int, shingles: int) -> DataFrame:
     """Blobs: edges (x, p) from each member of a bucket to another that connect it (from number `groups` on), and the members
     (h, x) of all buckets that have several (from 2 * `groups` on)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text))
+    order = docs.sparkSession.sparkContext.broadcast((*_frequent(docs, text), _shared(docs, text, shingles)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        frequent, counts, shared = order.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting, seen = 0, set()
 
@@ -183,7 +252,7 @@ def _met(docs: DataFrame, text: str, groups: int) -> DataFrame:
                     if v in seen:
                         continue
                     seen.add(v)
-                    first = prefix(own, frequent, counts) & _NAMED
+                    first = prefix(own, frequent, counts, shared) & _NAMED
                     held.append((first, np.full(len(first), v)))
                     waiting += len(first)
                 if waiting >= CHUNK:
@@ -204,7 +273,9 @@ def _met(docs: DataFrame, text: str, groups: int) -> DataFrame:
         fresh = many & (told == 0)  # a task that had several has listed its members
         return pa.Table.from_batches([dealt_by(v[later], groups, [v[first[later]]], groups), dealt(h[fresh], groups, [h[fresh], v[fresh]], 2 * groups)])
 
-    return cut(docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS))
+    met = cut(docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS))
+    order.unpersist()
+    return met
 
 
 def _filter(of: DataFrame, column: str) -> np.ndarray:
@@ -379,7 +450,8 @@ def near_copies(docs: DataFrame, key: str, text: str, pivots: int = PIVOTS) -> D
     marked = cut(_marked(docs, key, text))
     least = marked.groupBy("v").agg(F.min(key).alias("least"))
     sets = marked.drop(key).dropDuplicates(["v"])
-    groups = groups_for((sets.agg(F.sum("n")).first()[0] or 0) / 5)
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    groups = groups_for(shingles / 5)
 
     def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
@@ -393,7 +465,7 @@ def near_copies(docs: DataFrame, key: str, text: str, pivots: int = PIVOTS) -> D
     def texts(wanted: DataFrame) -> DataFrame:
         return stored.join(least.join(wanted, "v"), "least").select("v", "z").dropDuplicates(["v"])
 
-    roots = _links(sets, _met(docs, text, groups), groups, texts, pivots)
+    roots = _links(sets, _met(docs, text, groups, shingles), groups, texts, pivots)
     if roots is None:
         return marked.join(least, "v").select(key, F.col("least").alias("component"))
     rooted = least.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root"))
