@@ -8,6 +8,7 @@ share of all records, a task sends on at most one or a few of them a chunk, so n
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,17 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(each: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same function of a group's table; what it freed is returned after each group."""
+
+    def then(table: pa.Table) -> pa.Table:
+        out = each(table)
+        give_back()
+        return out
+
+    return then
+
+
 def packed(columns: list[np.ndarray]) -> bytes:
     raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
     return zstandard.ZstdCompressor(level=1).compress(raw)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fathomline.llm import simhash
 from fathomline.llm.common import blocks, cut, forget, text_block
 from fathomline.llm.components import components
-from fathomline.llm.dealing import BLOB_COLUMNS, BLOBS, CHUNK, by_first, dealt, dealt_by, give_back, groups_for, spans, unpacked
+from fathomline.llm.dealing import BLOB_COLUMNS, BLOBS, CHUNK, by_first, dealt, dealt_by, give_back, giving_back, groups_for, spans, unpacked
 from fathomline.llm.kernels import byte_prefix, mix, ranges, words
 from fathomline.llm.simhash import _LOWER
 
@@ -186,7 +186,7 @@ def _shared(docs: DataFrame, text: str, shingles: int) -> np.ndarray:
         return pa.table({"b": [int(start)], "z": [np.packbits(flags, bitorder="little").tobytes()]}, schema=BLOBS)
 
     flags = np.zeros(1 << (bits - 3), np.uint8)
-    found = docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS).toArrow()
+    found = docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(giving_back(meet), BLOB_COLUMNS).toArrow()
     for start, z in zip(found.column("b").to_pylist(), found.column("z"), strict=True):
         part = np.frombuffer(z.as_py(), np.uint8)
         flags[start : start + len(part)] |= part
@@ -273,7 +273,7 @@ def _met(docs: DataFrame, text: str, groups: int, shingles: int) -> DataFrame:
         fresh = many & (told == 0)  # a task that had several has listed its members
         return pa.Table.from_batches([dealt_by(v[later], groups, [v[first[later]]], groups), dealt(h[fresh], groups, [h[fresh], v[fresh]], 2 * groups)])
 
-    met = cut(docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(meet, BLOB_COLUMNS))
+    met = cut(docs.select(text).mapInArrow(each, BLOB_COLUMNS).groupBy("b").applyInArrow(giving_back(meet), BLOB_COLUMNS))
     order.unpersist()
     return met
 
@@ -283,10 +283,19 @@ def _filter(of: DataFrame, column: str) -> np.ndarray:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots(b.column(0).to_numpy().view(np.uint64))).astype(np.int64))], names=["at"])
+            yield _places(b.column(0).to_numpy().view(np.uint64))
+        give_back()
+
+    return _flags(of.select(column).mapInArrow(each, "at bigint"))
+
+
+def _places(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.unique(slots(x)).astype(np.int64))], names=["at"])
+
 
+def _flags(places: DataFrame) -> np.ndarray:
     flags = np.zeros(1 << FILTER_BITS, bool)
-    flags[of.select(column).mapInArrow(each, "at bigint").distinct().toArrow().column("at").to_numpy()] = True
+    flags[places.distinct().toArrow().column("at").to_numpy()] = True
     return flags
 
 
@@ -294,16 +303,34 @@ def slots(x: np.ndarray) -> np.ndarray:
     return mix(x ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - FILTER_BITS)
 
 
-def _members(listed: DataFrame, h: np.ndarray | None = None, v: np.ndarray | None = None) -> DataFrame:
-    """(h, v) of the listed members whose bucket or set the filter passes."""
-    shared = listed.sparkSession.sparkContext.broadcast((h, v))
+def _buckets(listed: DataFrame, v: np.ndarray) -> np.ndarray:
+    """The filter of the buckets h of listed members whose set the filter v passes. One function unpacks and marks: two in a
+    row would run in two Python workers a task, and the others stay on each executor, idle and with what they hold."""
+    shared = listed.sparkSession.sparkContext.broadcast(v)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for z in b.column("z"):
+                x, y = (c.view(np.uint64) for c in unpacked([z], 2))
+                yield _places(x[shared.value[slots(y)]])
+        give_back()
+
+    flags = _flags(listed.select("z").mapInArrow(each, "at bigint"))
+    shared.unpersist()
+    return flags
+
+
+def _members(listed: DataFrame, h: np.ndarray) -> DataFrame:
+    """(h, v) of the listed members whose bucket the filter passes."""
+    shared = listed.sparkSession.sparkContext.broadcast(h)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for z in b.column("z"):
                 x, y = (c.view(np.uint64) for c in unpacked([z], 2))
-                good = shared.value[0][slots(x)] if shared.value[0] is not None else shared.value[1][slots(y)]
+                good = shared.value[slots(x)]
                 yield pa.RecordBatch.from_arrays([pa.array(x[good].view(np.int64)), pa.array(y[good].view(np.int64))], names=["h", "v"])
+        give_back()
 
     return listed.select("z").mapInArrow(each, "h bigint, v bigint")
 
@@ -314,6 +341,7 @@ def _likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ, good = possible(signatures(b.column("xs")), signatures(b.column("ys")), b.column("xn").to_numpy(), b.column("yn").to_numpy())
         kept = pa.array(good)
         yield pa.RecordBatch.from_arrays([b.column("v").filter(kept), b.column("w").filter(kept), pa.array(differ[good])], names=["v", "w", "d"])
+    give_back()
 
 
 def apart_pairs(table: pa.Table, only_best: bool) -> pa.Table:
@@ -358,6 +386,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(both * b >= (len(p) + len(q) - both) * a)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in "uv"], names=["u", "v"])
+        give_back()
 
     named = lambda c: texts.select(F.col("v").alias(c), F.col("z").alias(f"t{c}"))
     return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "tu", "tv").mapInArrow(each, "u bigint, v bigint")
@@ -378,7 +407,7 @@ def _links(sets: DataFrame, met: DataFrame, groups: int, texts_of: Callable[[Dat
         both = np.unique(np.column_stack([x, p]), axis=0)
         return pa.table({"v": both[:, 0], "w": both[:, 1]})
 
-    stars = cut(met.where(F.col("b").between(groups, 2 * groups - 1)).groupBy("b").applyInArrow(pairs_of, "v bigint, w bigint"))
+    stars = cut(met.where(F.col("b").between(groups, 2 * groups - 1)).groupBy("b").applyInArrow(giving_back(pairs_of), "v bigint, w bigint"))
     prints = sets.groupBy("fp").agg(F.min("v").alias("w"))
     alike = sets.join(prints, "fp").where("v != w").select("v", "w")
     beside = simhash.links(prints.select("fp"))
@@ -401,7 +430,7 @@ def _links(sets: DataFrame, met: DataFrame, groups: int, texts_of: Callable[[Dat
         rooted = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
         open_ends = stars.join(rooted("v"), "v", "left").join(rooted("w"), "w", "left").where(F.coalesce("rv", "v") != F.coalesce("rw", "w"))
     listed = met.where(F.col("b") >= 2 * groups)
-    inside = _filter(_members(listed, v=_filter(open_ends, "v")), "h")
+    inside = _buckets(listed, _filter(open_ends, "v"))
 
     def apart(members: DataFrame) -> DataFrame:
         """Members with their roots, of the buckets that have several roots; buckets of the same members once."""
@@ -414,7 +443,7 @@ def _links(sets: DataFrame, met: DataFrame, groups: int, texts_of: Callable[[Dat
         return cut(now.join(several.select("h", "size"), "h"))
 
     done = [met, stars, near, texts]
-    live = apart(_members(listed, h=inside))
+    live = apart(_members(listed, inside))
     for r in range(pivots + 1):
         if live.isEmpty():
             break
@@ -459,6 +488,7 @@ def near_copies(docs: DataFrame, key: str, text: str, pivots: int = PIVOTS) -> D
             for part in blocks(batch, "t"):
                 data, at = text_block(part.column("t"))
                 yield pa.RecordBatch.from_arrays([part.column("least"), pa.array([small.compress(data[x:y].tobytes()) for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["least", "z"])
+        give_back()
 
     stored = docs.select(F.col(key).alias("least"), F.col(text).alias("t")).mapInArrow(each_text, f"least {docs.schema[key].dataType.simpleString()}, z binary")
 
